@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .piece_codec import op6_piece_codec
+from .token_counts import op10_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_exact_dedup": op2_exact_dedup}
+    return {
+        "op2_exact_dedup": op2_exact_dedup,
+        "op6_piece_codec": op6_piece_codec,
+        "op10_token_counts": op10_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
