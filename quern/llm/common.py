@@ -120,3 +120,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("labels still change; raise max_rounds")
     both.discard()
     return labels.read().select("node", "component")
+
+
+def slices(batch, column: str, limit: int = 2_000_000):
+    """Consecutive slices of an Arrow batch, each with about ``limit`` bytes of the text column or one row.
+
+    Python objects made from a slice take many times its size, so batches are worked through in slices.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, done + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to

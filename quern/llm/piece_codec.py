@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pieces
-from .common import table
+from .common import slices, table
 
 MODEL = "piece_bpe_32k.model"
 
@@ -40,22 +40,15 @@ def encode_decode(docs: DataFrame, model: str | None = None, text_col: str = "te
         model = pieces.load(path)
         first = model.begin.to_bytes(4, "little") if ends else b""
         last = model.end.to_bytes(4, "little") if ends else b""
-        known: dict[str, tuple[bytes, bytes, bool]] = {}
-        for batch in batches:
-            if len(known) > pieces.CACHE_ENTRIES:
-                known.clear()
+        for batch in (part for whole in batches for part in slices(whole, "ids")):
             split = [model.split(t) for t in batch.column("ids").to_pylist()]
-            new = list({p for parts in split for p in parts if p not in known})
-            known.update(zip(new, model.verified(new), strict=True))
+            known = model.look_up({p for parts in split for p in parts})
             ids, texts, agreed = [], [], []
             for parts in split:
                 found = [known[p] for p in parts]
                 ids.append(b"".join([first, *[x[0] for x in found], last]))
                 texts.append(b"".join([x[1] for x in found])[1:])
                 agreed.append(all(x[2] for x in found))
-            for p in new:
-                if len(p) > pieces.CACHE_CHARS:
-                    del known[p]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(ids, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(agreed, pa.bool_())],
                 names=[*keep, *made],

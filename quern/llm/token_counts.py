@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import table
+from .common import slices, table
 from .piece_codec import default_model
 
 LIMIT = 4096
@@ -51,7 +51,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         model = pieces.load(path)
         whole_set = whole.value
         tokens = Counter(model, whole_set)
-        for batch in batches:
+        for batch in (part for all_rows in batches for part in slices(all_rows, "text")):
             if len(tokens) >= tokens.bound:
                 tokens = Counter(model, whole_set)
             texts = batch.column("text")
