@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .main_text import op1_main_text
 from .piece_codec import op6_piece_codec
 from .token_counts import op10_token_counts
 
@@ -15,6 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_main_text": op1_main_text,
         "op2_exact_dedup": op2_exact_dedup,
         "op6_piece_codec": op6_piece_codec,
         "op10_token_counts": op10_token_counts,
