@@ -10,6 +10,7 @@ from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .main_text import op1_main_text
 from .piece_codec import op6_piece_codec
 from .token_counts import op10_token_counts
+from .toxicity import op4_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_main_text": op1_main_text,
         "op2_exact_dedup": op2_exact_dedup,
+        "op4_toxicity": op4_toxicity,
         "op6_piece_codec": op6_piece_codec,
         "op10_token_counts": op10_token_counts,
     }
