@@ -10,6 +10,7 @@ from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .main_text import op1_main_text
 from .piece_codec import op6_piece_codec
 from .pivot_dedup import op7_pivot_dedup
+from .shingle_join import op8_shingle_join
 from .token_counts import op10_token_counts
 from .toxicity import op4_toxicity
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op4_toxicity": op4_toxicity,
         "op6_piece_codec": op6_piece_codec,
         "op7_pivot_dedup": op7_pivot_dedup,
+        "op8_shingle_join": op8_shingle_join,
         "op10_token_counts": op10_token_counts,
     }
 
