@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .main_text import op1_main_text
+from .mixing import op3_mixing
 from .piece_codec import op6_piece_codec
 from .pivot_dedup import op7_pivot_dedup
 from .shingle_join import op8_shingle_join
@@ -21,6 +22,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_main_text": op1_main_text,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_mixing": op3_mixing,
         "op4_toxicity": op4_toxicity,
         "op6_piece_codec": op6_piece_codec,
         "op7_pivot_dedup": op7_pivot_dedup,
