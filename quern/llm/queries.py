@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .licences import OP5_SQL, op5_licences
 from .main_text import op1_main_text
 from .mixing import op3_mixing
 from .piece_codec import op6_piece_codec
@@ -24,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_mixing": op3_mixing,
         "op4_toxicity": op4_toxicity,
+        "op5_licences": op5_licences,
         "op6_piece_codec": op6_piece_codec,
         "op7_pivot_dedup": op7_pivot_dedup,
         "op8_shingle_join": op8_shingle_join,
@@ -32,4 +34,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_licences": OP5_SQL}
