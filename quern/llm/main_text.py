@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import ship, slices, table
 
 # Fixed values of HTML: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -282,6 +282,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
     matter; a kept column named as ``into`` is replaced; an empty table gives no rows. A page of any
     length is worked through whole, in time that grows with its tags.
     """
+    ship(pages.sparkSession)
     keep = [c for c in (keep or pages.columns) if c not in (html_col, into)]
     rows = pages.select(*keep, F.coalesce(F.col(html_col), F.lit("")).alias(into))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pieces
-from .common import slices, table
+from .common import ship, slices, table
 
 MODEL = "piece_bpe_32k.model"
 
@@ -30,6 +30,7 @@ def encode_decode(docs: DataFrame, model: str | None = None, text_col: str = "te
     that bear one of the three names are replaced. Rows are independent: repeated rows, ties and extra
     columns don't matter, an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     path = model or default_model()
     made = ["ids", "decoded", "agreed"]
     keep = [c for c in (keep or docs.columns) if c not in made]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written, components, table
+from .common import Written, components, ship, table
 
 COSINE, PREFIX, LISTS, SHARED, BLOCK, SEED = 0.98, 8, 4, 3, 1536, 5
 
@@ -116,6 +116,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     another vector. Vectors of different length don't link. Other columns are ignored; an empty table
     gives no rows.
     """
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
     sound = F.expr(
         "id IS NOT NULL AND label IS NOT NULL AND size(embedding) > 0"

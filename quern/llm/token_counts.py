@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import slices, table
+from .common import ship, slices, table
 from .piece_codec import default_model
 
 LIMIT = 4096
@@ -42,6 +42,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and extra columns don't matter, an empty table gives no rows.
     """
     path = model or default_model()
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     whole = spark.sparkContext.broadcast(pieces.load(path).whole())
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

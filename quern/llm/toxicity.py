@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import ship, slices, table
 from .gru import HIDDEN, STEPS, STRIDE, Network, Trainer
 
 POSITIVE, NEGATIVE, SAMPLE_WINDOWS = 1500, 3000, 16
@@ -46,6 +46,7 @@ def sample(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negativ
     Held-out rows are left out. The last are counted over all other labelled rows, so that the fit keeps
     the corpus's share of toxic documents whatever the sample's.
     """
+    ship(docs.sparkSession)
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = (
@@ -213,6 +214,7 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", keep: list[st
     so ties, repeated rows, null ids and extra columns don't matter; a column named score is replaced.
     An empty table gives no rows.
     """
+    ship(docs.sparkSession)
     keep = [c for c in (keep or docs.columns) if c != "score"]
     model = docs.sparkSession.sparkContext.broadcast(scorer)
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("score"))
