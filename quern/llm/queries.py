@@ -14,6 +14,7 @@ from .piece_codec import op6_piece_codec
 from .pivot_dedup import op7_pivot_dedup
 from .shingle_join import op8_shingle_join
 from .token_counts import op10_token_counts
+from .tool_calls import OP9_SQL, op9_tool_calls
 from .toxicity import op4_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,9 +30,10 @@ def queries() -> dict[str, Query]:
         "op6_piece_codec": op6_piece_codec,
         "op7_pivot_dedup": op7_pivot_dedup,
         "op8_shingle_join": op8_shingle_join,
+        "op9_tool_calls": op9_tool_calls,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op5_licences": OP5_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_licences": OP5_SQL, "op9_tool_calls": OP9_SQL}
