@@ -11,7 +11,8 @@ first n - ceil(0.8 n) + 1 shingles with their places. First every posting meets
 its list; the links found so unite most copies. Then, in lists that still hold several classes, documents of
 different classes meet. Pairs inside a class are never made, none across classes is left out.
 
-Verification. The order is cut into fragments; a fragment of each candidate is a sorted run of
+Verification. The prefixes of a candidate pair bound its overlap; a pair that can't reach the similarity
+goes. The order is cut into fragments; a fragment of each candidate is a sorted run of
 shingles, the two runs of a pair are intersected fragment by fragment, and the partial counts are
 summed for each pair.
 
@@ -27,42 +28,90 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, components, slices, table
+from .common import Written, components, ship, slices, table
 
 WORDS, COMMON, COMMON_MIN, COUNT_AT_ONCE = 5, 100_000, 32, 3_000_000
-FRAGMENT_BITS, FILTER_BITS = 3, 23
-KNOWN_WORDS = 400_000
+FRAGMENT_BITS, FILTER_BITS = 3, 24
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    """Hashes of words, remembered by this process up to a bound."""
+def _letters() -> np.ndarray:
+    """A 64-bit number for each byte; upper-case ASCII has that of lower case, ASCII white space has 0."""
+    b = np.arange(256)
+    x = (np.where((b >= 65) & (b <= 90), b + 32, b) + 1).astype(np.uint64) * MIX
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x |= np.uint64(1)
+    x[[9, 10, 11, 12, 13, 32]] = 0
+    return x
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
 
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-        found = self[word] = xxh3_64_intdigest(word)
-        return found
+LETTERS = _letters()
 
 
-_words = _Words()
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word of all texts, number of words of each text), straight from the column's bytes.
 
-
-def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a text, as int64. A-Z are lower-cased; ASCII white space parts words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.int64)
-    x = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    size = min(size, len(words))
-    h = np.full(len(words) - size + 1, size, np.uint64)
+    A word's hash is the sum of its letters' numbers, each times a power of an odd constant by place.
+    """
+    column = column.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    first, last = (int(offsets[0]), int(offsets[-1])) if len(offsets) else (0, 0)
+    if first == last:
+        return np.zeros(0, np.uint64), np.zeros(len(column), np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[first:last]
+    bounds = offsets - first
+    value = LETTERS[data]
+    word = value != 0
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    edges = bounds[:-1][(bounds[:-1] < len(data))]
+    begins[edges] = word[edges]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(column), np.int64)
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
+    place[~word[starts[0] :]] = 0
+    power = np.full(int(place.max()) + 1, MIX, np.uint64)
+    power[0] = 1
+    np.cumprod(power, out=power)
+    h = np.add.reduceat(value[starts[0] :] * power[place], starts - starts[0])
+    h ^= h >> np.uint64(32)
+    return h * MIX, np.diff(np.searchsorted(starts, bounds))
+
+
+def shingle_sets(texts: pa.Array, size: int = WORDS) -> list[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text, as int64. A-Z are lower-cased; ASCII white space parts words."""
+    x, count = word_hashes(texts)
+    h = np.full(max(0, len(x) - size + 1), size, np.uint64)  # shingles of all texts; those across two texts are passed over
     for k in range(size):
         h ^= x[k : len(h) + k]
         h *= MIX
         h ^= h >> np.uint64(29)
-    return np.unique(h.view(np.int64))
+    h, first, out = h.view(np.int64), 0, []
+    for n in count.tolist():
+        if n >= size:
+            own = np.sort(h[first : first + n - size + 1])
+            keep = np.empty(len(own), bool)
+            keep[0] = True
+            np.not_equal(own[1:], own[:-1], out=keep[1:])
+            out.append(own[keep])
+        elif n:
+            out.append(_short(x[first : first + n]))
+        else:
+            out.append(np.zeros(0, np.int64))
+        first += n
+    return out
+
+
+def _short(x: np.ndarray) -> np.ndarray:
+    """The one shingle of a text with fewer words than a shingle has."""
+    h = np.full(1, len(x), np.uint64)
+    for word in x:
+        h ^= word
+        h *= MIX
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
 
 
 def need(n, m):
@@ -84,11 +133,19 @@ class Order:
         at[at == len(self.common)] = 0
         return np.where(self.common[at] == tokens, self.count[at], 0)
 
-    def prefix(self, tokens: np.ndarray) -> np.ndarray:
+    def prefix(self, tokens: np.ndarray) -> tuple[np.ndarray, tuple[int, int]]:
+        """The shingles to post, in order, and the place in the order of the last."""
         n = len(tokens)
         if not n:
-            return tokens
-        return tokens[np.lexsort((tokens, self.rank(tokens)))[: n - -(-4 * n // 5) + 1]]
+            return tokens, (0, 0)
+        size, rank = n - -(-4 * n // 5) + 1, self.rank(tokens)
+        late = rank > 0
+        if late.any():
+            last = np.flatnonzero(late)
+            last = last[np.argsort(rank[last], kind="stable")]
+            head = np.concatenate([np.flatnonzero(~late), last])[:size]
+            return tokens[head], (int(rank[head[-1]]), int(tokens[head[-1]]))
+        return tokens[:size], (0, int(tokens[size - 1]))
 
     def fragments(self, tokens: np.ndarray) -> np.ndarray:
         """Fragment of each shingle: a range of hashes, or the last for all common ones."""
@@ -113,7 +170,7 @@ def _survey(texts: DataFrame) -> DataFrame:
 
         size = 0
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            sets = shingle_sets(batch.column("text"))
             n = [len(s) for s in sets]
             none = pa.nulls(len(n), pa.int64())
             sig = pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
@@ -147,8 +204,8 @@ def _prefixes(texts: DataFrame, order) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            heads = [order.value.prefix(s) for s in sets]
+            sets = shingle_sets(batch.column("text"))
+            heads, edges = zip(*[order.value.prefix(s) for s in sets], strict=True)
             offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -156,55 +213,71 @@ def _prefixes(texts: DataFrame, order) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *heads])),
+                    pa.array([e[0] for e in edges], pa.int64()),
+                    pa.array([e[1] for e in edges], pa.int64()),
                 ],
-                names=["doc", "n", "sig", "head"],
+                names=["doc", "n", "sig", "head", "edge_rank", "edge"],
             )
 
-    return texts.mapInArrow(run, "doc long, n long, sig binary, head array<long>")
+    return texts.mapInArrow(run, "doc long, n long, sig binary, head array<long>, edge_rank long, edge long")
 
 
 def _bit(doc) -> F.Column:
     return F.shiftrightunsigned(F.xxhash64(doc), 64 - FILTER_BITS)
 
 
-def _segments(texts: DataFrame, order, pairs: DataFrame) -> DataFrame:
-    """Fragments (doc, f, seg) of the documents in ``pairs``.
+def _picked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows whose doc is in ``pairs``, and few others.
 
-    Texts are picked by a bit set of fixed size; the few others that share a bit find no pair later.
+    A bit set of fixed size (2^FILTER_BITS bits, in 2^(FILTER_BITS - 6) rows at most) is broadcast, so texts
+    don't move. Rows that only share a bit find no pair later.
     """
     bit = _bit(F.col("doc"))
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct()
-    words = ids.select(F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("b")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits"))
-    bits = np.zeros(1 << FILTER_BITS - 6, np.int64)
-    for r in words.toLocalIterator():
-        bits[r.word] = r.bits
-    held = texts.sparkSession.sparkContext.broadcast(bits)
+    word, at = F.shiftright(bit, 6).alias("_word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("_at")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc")).select(word, at)
+    bits = ids.groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _at))").alias("_bits"))
+    found = rows.select("*", word, at).join(F.broadcast(bits), "_word").where("(shiftrightunsigned(_bits, _at) & 1) = 1")
+    return found.select(*rows.columns)
+
+
+def _segments(texts: DataFrame, order) -> DataFrame:
+    """Fragments (doc, f, seg) of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            at = whole.column("bit").to_numpy()
-            picked = whole.filter(pa.array((held.value[at >> 6] >> (at & 63)) & 1 == 1))
-            for batch in slices(picked, "text"):
-                docs, parts, runs = [], [], []
-                for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    tokens = shingles(text)
-                    fragment = order.value.fragments(tokens)
-                    for f in np.unique(fragment):
-                        docs.append(doc)
-                        parts.append(f)
-                        runs.append(tokens[fragment == f])
-                offsets = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(parts, pa.int32()), pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *runs]))],
-                    names=["doc", "f", "seg"],
-                )
-
-    return texts.withColumn("bit", bit).mapInArrow(run, "doc long, f int, seg array<long>")
-
-
-def _verified(texts: DataFrame, order, pairs: DataFrame) -> DataFrame:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            docs, parts, runs = [], [], []
+            for doc, tokens in zip(batch.column("doc").to_pylist(), shingle_sets(batch.column("text")), strict=True):
+                fragment = order.value.fragments(tokens)
+                for f in np.unique(fragment):
+                    docs.append(doc)
+                    parts.append(f)
+                    runs.append(tokens[fragment == f])
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs, pa.int64()), pa.array(parts, pa.int32()), pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *runs]))],
+                names=["doc", "f", "seg"],
+            )
+
+    return texts.mapInArrow(run, "doc long, f int, seg array<long>")
+
+
+def _sifted(heads: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs whose prefixes leave room for the similarity.
+
+    Up to the earlier of the two prefixes' ends every shared shingle is in both, so beyond it the set
+    whose prefix ends there adds at most the rest of it, and the other at most what it hasn't shared.
+    """
+    picked = _picked(heads, pairs)
+    side = lambda x: picked.select(F.col("doc").alias(x), F.col("head").alias(f"h{x}"), F.struct("edge_rank", "edge").alias(f"e{x}"))
+    met = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("shared", F.expr("size(array_intersect(hu, hv))"))
+    rest = "IF(eu <= ev, least(nu - size(hu), nv - shared), least(nv - size(hv), nu - shared))"
+    return met.where(f"shared + {rest} >= (4 * (nu + nv) + 8) DIV 9").select("u", "v", "nu", "nv")
+
+
+def _verified(texts: DataFrame, heads: DataFrame, order, pairs: DataFrame) -> DataFrame:
     """Pairs (u, v, nu, nv) whose partial overlaps sum to the similarity."""
-    segments = _segments(texts, order, pairs)
+    pairs = Written(_sifted(heads, pairs), "sifted").read()
+    segments = _segments(_picked(texts, pairs), order)
     left = segments.select(F.col("doc").alias("u"), "f", F.col("seg").alias("su"))
     right = segments.select(F.col("doc").alias("v"), "f", F.col("seg").alias("sv"))
     partial = pairs.join(left, "u").join(right, ["v", "f"]).select("u", "v", "nu", "nv", F.size(F.array_intersect("su", "sv")).alias("part"))
@@ -230,13 +303,14 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     differ, the links of each count for it. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     survey = Written(_survey(texts), "survey").read()
     order = spark.sparkContext.broadcast(_common(survey))
     sets = survey.where("sig IS NOT NULL").select("doc", "n", "sig")
     live = sets.where("n > 0 AND doc IS NOT NULL")
     reps = live.groupBy("sig").agg(F.min("doc").alias("doc"))
-    heads = _prefixes(texts, order).join(reps, ["doc", "sig"], "left_semi")
+    heads = Written(_prefixes(texts, order).join(reps, ["doc", "sig"], "left_semi").drop("sig"), "heads").read()
     posts = heads.select("doc", "n", F.posexplode("head").alias("place", "token")).select("token", "doc", F.expr("shiftleft(n, 32) | place").alias("at"))
     recurring = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     posts = Written(posts.join(recurring, "token", "left_semi"), "postings").read()
@@ -248,7 +322,7 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = posts.select("token", F.col("doc").alias("v"), F.col("at").alias("av"))
     first = met.join(least, "token").where("u <> v").where(_may_link("au", "av")).select(*pair, *sized).distinct()
     first = Written(first, "pairs").read()
-    links = Written(_verified(texts, order, first), "links").read()
+    links = Written(_verified(texts, heads, order, first), "links").read()
     classes = Written(components(links), "classes").read()
 
     # Second round: in lists of several classes, documents of different classes meet.
@@ -261,15 +335,11 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         one.join(other, "token")
         .where("cu <> cv AND (cv = main OR u < v)")
         .where(_may_link("au", "av"))
-        .select(*pair, *sized, F.expr(f"IF(u < v, {_PLACE.format('au')}, {_PLACE.format('av')}) iu"), F.expr(f"IF(u < v, {_PLACE.format('av')}, {_PLACE.format('au')}) iv"))
-        .groupBy("u", "v", "nu", "nv")
-        .agg(F.count("*").alias("shared"), F.max("iu").alias("iu"), F.max("iv").alias("iv"))
-        # All shared shingles up to the last shared place are counted; what may follow is bounded.
-        .where("shared + least(nu - 1 - iu, nv - 1 - iv) >= (4 * (nu + nv) + 8) DIV 9")
-        .select("u", "v", "nu", "nv")
+        .select(*pair, *sized)
+        .distinct()
     )
     second = Written(across.join(first, ["u", "v"], "left_anti"), "pairs").read()
-    links = links.union(Written(_verified(texts, order, second), "links").read())
+    links = links.union(Written(_verified(texts, heads, order, second), "links").read())
     classes = Written(components(links), "classes").read()
 
     of_set = reps.join(classes.select(F.col("node").alias("doc"), "component"), "doc", "left").select("sig", F.coalesce("component", "doc").alias("component"))
