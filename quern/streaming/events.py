@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_events(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """New Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).parquet(folder)
+    """New Parquet files of a folder as a stream. Watermarks need times with a zone, so times without are read as the session's."""
+    made = spark.readStream.schema(schema).parquet(folder)
+    return made.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if isinstance(f.dataType, T.TimestampNTZType)})
 
 
 def tumbling(events: DataFrame, time: str, size: str, late: str, keys: list[str], value: str) -> DataFrame:
