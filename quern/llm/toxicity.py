@@ -153,7 +153,7 @@ def train(windows: list[list[list[str]]], label: np.ndarray, stands: np.ndarray,
     """The same sample gives the same scorer. Without both labels in the sample the score is its share of ones."""
     net = Network(seed)
     if len(label) == 0 or label.min() == label.max():
-        share = float(((stands * label).sum() + 0.5) / (stands.sum() + 1))
+        share = float(((stands * label).sum() + 0.05) / (stands.sum() + 1))
         return Scorer(net, np.array([np.log(share / (1 - share)), 0, 0]))
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
