@@ -98,11 +98,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph given as rows (u, v), both long.
 
     Returns (node, component), component being the smallest node id that links reach; nodes without
-    an edge have no row. Each round gives every node the least label of its neighbours and then
-    follows labels of labels, so chains shorten by half; rounds grow with the logarithm of the
-    longest chain. Every round is a table in the shared folder: nothing is gathered on the driver but
-    the number of changed rows. Labels are partially aggregated before the shuffle, so a node with
-    very many edges costs no task more than its share.
+    an edge have no row. Each round, all nodes of a label take the least label that any of them hears from a
+    neighbour, and the label's own label: every class that borders a smaller one is absorbed, so rounds grow with the
+    logarithm of the size. Every round is a table in the shared folder: nothing is gathered on the driver but
+    whether a row changed. Labels are partially aggregated before each shuffle.
     """
     both = (
         edges.select("u", "v")
@@ -111,7 +110,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     both = Written(both, "edges")
-    labels = Written(both.read().groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "labels")
+    labels = Written(both.read().groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("component")), "labels")
     for _ in range(max_rounds):
         now = labels.read()
         heard = (
@@ -120,17 +119,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .groupBy(F.col("u").alias("node"))
             .agg(F.min("component").alias("heard"))
         )
+        told = now.join(heard, "node")
+        best = told.groupBy("component").agg(F.min("heard").alias("best"))
         jump = now.select(F.col("node").alias("component"), F.col("component").alias("jumped"))
-        # A label's label reaches its node as well as the node's neighbours.
-        step = (
-            now.join(heard, "node")
-            .join(jump, "component", "left")
-            .select(
-                "node",
-                F.col("component").alias("was"),
-                F.least("component", "heard", F.coalesce("jumped", "component")).alias("component"),
-            )
-        )
+        news = best.join(jump, "component", "left").select("component", F.least("best", F.coalesce("jumped", "best")).alias("news"))
+        step = now.join(news, "component").select("node", F.col("component").alias("was"), F.least("component", "news").alias("component"))
         following = Written(step, "labels")
         changed = following.read().where("was <> component").limit(1).count()
         labels.discard()

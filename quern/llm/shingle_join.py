@@ -4,14 +4,15 @@ Order. Shingles are ordered by (how common, hash): every task counts what recurs
 counts are added up, and the commonest shingles, up to ``COMMON``, go last. The order changes no
 result, it only keeps common passages out of the prefixes.
 
-Candidates. Documents with equal sets are one class from the start. A pair that reaches the similarity
-shares a shingle at places i and j of the two ordered sets, of n and m shingles, with
-i <= n - need and j <= m - need, need = ceil(4 (n + m) / 9), the first shingle that both have. So each set posts its
-first n - ceil(0.8 n) + 1 shingles with their places. First every posting meets the least document of
-its list; the links found so unite most copies. Then, in lists that still hold several classes, documents of
-different classes meet. Pairs inside a class are never made, none across classes is left out.
-
-Verification. The prefixes of a candidate pair bound its overlap; a pair that can't reach the similarity
+Candidates. Documents with equal sets are one class from the start. A pair that reaches the similarity has
+need = ceil(4 (n + m) / 9) shingles in common, n and m being the sizes; so the first SHARE of these (all, if need is
+less) stand before places n - need + SHARE and m - need + SHARE of the two ordered sets. Each set posts its first
+n - ceil(0.8 n) + SHARE shingles with their places, and pairs that match so often before those places are candidates.
+First every posting meets the least document of its list; the links found so unite most copies. Then, in lists that still
+hold several classes, documents of different classes meet. Pairs inside a class are never made, none across classes is
+left out.
+
+Verification. The beginnings of a candidate pair bound its overlap; a pair that can't reach the similarity
 goes. The order is cut into fragments; a fragment of each candidate is a sorted run of
 shingles, the two runs of a pair are intersected fragment by fragment, and the partial counts are
 summed for each pair.
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import Written, components, ship, slices, table
 
-WORDS, COMMON, COMMON_MIN, COUNT_AT_ONCE = 5, 100_000, 32, 3_000_000
+WORDS, COMMON, COMMON_MIN, COUNT_AT_ONCE = 5, 100_000, 16, 3_000_000
 FRAGMENT_BITS, FILTER_BITS = 3, 24
+SHARE, SIFTED = 3, 30
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,19 +135,20 @@ class Order:
         at[at == len(self.common)] = 0
         return np.where(self.common[at] == tokens, self.count[at], 0)
 
-    def prefix(self, tokens: np.ndarray) -> tuple[np.ndarray, tuple[int, int]]:
-        """The shingles to post, in order, and the place in the order of the last."""
-        n = len(tokens)
-        if not n:
-            return tokens, (0, 0)
-        size, rank = n - -(-4 * n // 5) + 1, self.rank(tokens)
+    def first(self, tokens: np.ndarray, size: int) -> np.ndarray:
+        """The first shingles in order."""
+        rank = self.rank(tokens)
         late = rank > 0
-        if late.any():
-            last = np.flatnonzero(late)
-            last = last[np.argsort(rank[last], kind="stable")]
-            head = np.concatenate([np.flatnonzero(~late), last])[:size]
-            return tokens[head], (int(rank[head[-1]]), int(tokens[head[-1]]))
-        return tokens[:size], (0, int(tokens[size - 1]))
+        if not late.any():
+            return tokens[:size]
+        last = np.flatnonzero(late)
+        last = last[np.argsort(rank[last], kind="stable")]
+        return tokens[np.concatenate([np.flatnonzero(~late), last])[:size]]
+
+    def prefix(self, tokens: np.ndarray) -> np.ndarray:
+        """The shingles to post."""
+        n = len(tokens)
+        return self.first(tokens, n - -(-4 * n // 5) + SHARE) if n else tokens
 
     def fragments(self, tokens: np.ndarray) -> np.ndarray:
         """Fragment of each shingle: a range of hashes, or the last for all common ones."""
@@ -164,11 +167,12 @@ def _survey(texts: DataFrame) -> DataFrame:
 
         def recurring() -> pa.RecordBatch:
             token, df = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            token, df = token[df > 3], df[df > 3]
+            often = df >= 2 + docs // 2000  # small tasks report what they see twice
+            token, df = token[often], df[often]
             none = pa.nulls(len(token), pa.int64())
             return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(token), pa.binary()), pa.array(token), pa.array(df.astype(np.int64))], names=names)
 
-        size = 0
+        size = docs = 0
         for batch in (part for whole in batches for part in slices(whole, "text")):
             sets = shingle_sets(batch.column("text"))
             n = [len(s) for s in sets]
@@ -177,9 +181,10 @@ def _survey(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), sig, none, none], names=names)
             held += sets
             size += sum(n)
+            docs += len(n)
             if size > COUNT_AT_ONCE:
                 yield recurring()
-                held, size = [], 0
+                held, size, docs = [], 0, 0
         yield recurring()
 
     return texts.mapInArrow(run, "doc long, n long, sig binary, token long, df long")
@@ -205,7 +210,7 @@ def _prefixes(texts: DataFrame, order) -> DataFrame:
 
         for batch in (part for whole in batches for part in slices(whole, "text")):
             sets = shingle_sets(batch.column("text"))
-            heads, edges = zip(*[order.value.prefix(s) for s in sets], strict=True)
+            heads = [order.value.prefix(s) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -213,13 +218,11 @@ def _prefixes(texts: DataFrame, order) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *heads])),
-                    pa.array([e[0] for e in edges], pa.int64()),
-                    pa.array([e[1] for e in edges], pa.int64()),
                 ],
-                names=["doc", "n", "sig", "head", "edge_rank", "edge"],
+                names=["doc", "n", "sig", "head"],
             )
 
-    return texts.mapInArrow(run, "doc long, n long, sig binary, head array<long>, edge_rank long, edge long")
+    return texts.mapInArrow(run, "doc long, n long, sig binary, head array<long>")
 
 
 def _bit(doc) -> F.Column:
@@ -261,22 +264,45 @@ def _segments(texts: DataFrame, order) -> DataFrame:
     return texts.mapInArrow(run, "doc long, f int, seg array<long>")
 
 
-def _sifted(heads: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs whose prefixes leave room for the similarity.
+def _sketches(texts: DataFrame, order) -> DataFrame:
+    """The first SIFTED of 100 shingles of documents, cut to 31 bits: (doc, k, h, e), k shingles, h their distinct values, e the last's place."""
 
-    Up to the earlier of the two prefixes' ends every shared shingle is in both, so beyond it the set
-    whose prefix ends there adds at most the rest of it, and the other at most what it hasn't shared.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            heads = [order.value.first(s, -(-SIFTED * len(s) // 100)) for s in shingle_sets(batch.column("text"))]
+            ends = [h[-1:] for h in heads]
+            edge = [pa.array([int(f(e)) if len(e) else 0 for e in ends], pa.int64()) for f in (lambda e: order.value.rank(e)[0], lambda e: e[0])]
+            cut = [np.unique((h & 0x7FFFFFFF).astype(np.int32)) for h in heads]
+            offsets = np.concatenate([[0], np.cumsum([len(h) for h in cut])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc"),
+                    pa.array([len(h) for h in heads], pa.int32()),
+                    pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int32), *cut])),
+                    pa.StructArray.from_arrays(edge, ["rank", "token"]),
+                ],
+                names=["doc", "k", "h", "e"],
+            )
+
+    return texts.mapInArrow(run, "doc long, k int, h array<int>, e struct<rank: long, token: long>")
+
+
+def _sifted(texts: DataFrame, order, pairs: DataFrame) -> DataFrame:
+    """Pairs whose first shingles leave room for the similarity.
+
+    Up to the earlier of the ends of the two beginnings every shared shingle is in both, so beyond it the set
+    that ends there adds at most the rest of it, and the other at most what it hasn't shared. 31 bits of each shingle
+    are compared; what a set loses when two of its own agree in them is added back, so no pair is lost.
     """
-    picked = _picked(heads, pairs)
-    side = lambda x: picked.select(F.col("doc").alias(x), F.col("head").alias(f"h{x}"), F.struct("edge_rank", "edge").alias(f"e{x}"))
-    met = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("shared", F.expr("size(array_intersect(hu, hv))"))
-    rest = "IF(eu <= ev, least(nu - size(hu), nv - shared), least(nv - size(hv), nu - shared))"
+    picked = _sketches(_picked(texts, pairs), order)
+    side = lambda x: picked.select(*[F.col(c).alias(c + x if c != "doc" else x) for c in picked.columns])
+    met = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("shared", F.expr("size(array_intersect(hu, hv)) + least(ku - size(hu), kv - size(hv))"))
+    rest = "IF(eu <= ev, least(nu - ku, nv - shared), least(nv - kv, nu - shared))"
     return met.where(f"shared + {rest} >= (4 * (nu + nv) + 8) DIV 9").select("u", "v", "nu", "nv")
 
 
-def _verified(texts: DataFrame, heads: DataFrame, order, pairs: DataFrame) -> DataFrame:
+def _verified(texts: DataFrame, order, pairs: DataFrame) -> DataFrame:
     """Pairs (u, v, nu, nv) whose partial overlaps sum to the similarity."""
-    pairs = Written(_sifted(heads, pairs), "sifted").read()
     segments = _segments(_picked(texts, pairs), order)
     left = segments.select(F.col("doc").alias("u"), "f", F.col("seg").alias("su"))
     right = segments.select(F.col("doc").alias("v"), "f", F.col("seg").alias("sv"))
@@ -292,7 +318,13 @@ _SIZE, _PLACE = "shiftright({0}, 32)", "({0} & 4294967295)"
 def _may_link(a: str, b: str) -> F.Column:
     n, m = _SIZE.format(a), _SIZE.format(b)
     least = f"(4 * ({n} + {m}) + 8) DIV 9"
-    return F.expr(f"{_PLACE.format(a)} <= {n} - {least} AND {_PLACE.format(b)} <= {m} - {least}")
+    return F.expr(f"{_PLACE.format(a)} < {n} - {least} + {SHARE} AND {_PLACE.format(b)} < {m} - {least} + {SHARE} AND {least} <= least({n}, {m})")
+
+
+def _enough(matches: DataFrame) -> DataFrame:
+    """Pairs (u, v, nu, nv) that match often enough."""
+    counted = matches.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("c"))
+    return counted.where(f"c >= least({SHARE}, (4 * (nu + nv) + 8) DIV 9)").drop("c")
 
 
 def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,9 +352,9 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pair = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
     sized = [F.expr(f"IF(u < v, {_SIZE.format('au')}, {_SIZE.format('av')}) nu"), F.expr(f"IF(u < v, {_SIZE.format('av')}, {_SIZE.format('au')}) nv")]
     met = posts.select("token", F.col("doc").alias("v"), F.col("at").alias("av"))
-    first = met.join(least, "token").where("u <> v").where(_may_link("au", "av")).select(*pair, *sized).distinct()
-    first = Written(first, "pairs").read()
-    links = Written(_verified(texts, heads, order, first), "links").read()
+    first = _enough(met.join(least, "token").where("u <> v").where(_may_link("au", "av")).select(*pair, *sized))
+    first = Written(_sifted(texts, order, Written(first, "pairs").read()), "sifted").read()
+    links = Written(_verified(texts, order, first), "links").read()
     classes = Written(components(links), "classes").read()
 
     # Second round: in lists of several classes, documents of different classes meet.
@@ -336,10 +368,9 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where("cu <> cv AND (cv = main OR u < v)")
         .where(_may_link("au", "av"))
         .select(*pair, *sized)
-        .distinct()
     )
-    second = Written(across.join(first, ["u", "v"], "left_anti"), "pairs").read()
-    links = links.union(Written(_verified(texts, heads, order, second), "links").read())
+    second = Written(_sifted(texts, order, Written(_enough(across), "pairs").read()), "sifted").read().join(first, ["u", "v"], "left_anti")
+    links = links.union(Written(_verified(texts, order, second), "links").read())
     classes = Written(components(links), "classes").read()
 
     of_set = reps.join(classes.select(F.col("node").alias("doc"), "component"), "doc", "left").select("sig", F.coalesce("component", "doc").alias("component"))
