@@ -323,7 +323,7 @@ def _may_link(a: str, b: str) -> F.Column:
 
 def _enough(matches: DataFrame) -> DataFrame:
     """Pairs (u, v, nu, nv) that match often enough."""
-    counted = matches.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("c"))
+    counted = matches.groupBy("u", "v", "nu", "nv").agg(F.sum("times").alias("c"))
     return counted.where(f"c >= least({SHARE}, (4 * (nu + nv) + 8) DIV 9)").drop("c")
 
 
@@ -352,23 +352,26 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pair = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
     sized = [F.expr(f"IF(u < v, {_SIZE.format('au')}, {_SIZE.format('av')}) nu"), F.expr(f"IF(u < v, {_SIZE.format('av')}, {_SIZE.format('au')}) nv")]
     met = posts.select("token", F.col("doc").alias("v"), F.col("at").alias("av"))
-    first = _enough(met.join(least, "token").where("u <> v").where(_may_link("au", "av")).select(*pair, *sized))
+    first = _enough(met.join(least, "token").where("u <> v").where(_may_link("au", "av")).select(*pair, *sized, F.lit(1).alias("times")))
     first = Written(_sifted(texts, order, Written(first, "pairs").read()), "sifted").read()
     links = Written(_verified(texts, order, first), "links").read()
     classes = Written(components(links), "classes").read()
 
     # Second round: in lists of several classes, documents of different classes meet.
     classed = posts.join(classes.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("class", F.coalesce("component", "doc")).drop("component")
-    mixed = classed.groupBy("token").agg(F.min("class").alias("main"), F.max("class").alias("last")).where("main <> last").select("token", "main")
-    classed = Written(classed.join(mixed, "token"), "mixed").read()
-    one = classed.where("class <> main").select("token", F.col("doc").alias("u"), F.col("at").alias("au"), F.col("class").alias("cu"))
-    other = classed.select("token", F.col("doc").alias("v"), F.col("at").alias("av"), F.col("class").alias("cv"), "main")
-    across = (
-        one.join(other, "token")
-        .where("cu <> cv AND (cv = main OR u < v)")
-        .where(_may_link("au", "av"))
-        .select(*pair, *sized)
+    # Shingles with the same documents make one list, each document at its earliest place there. Lists that only agree in the
+    # hash of their documents would make candidates too many, never too few.
+    mixed = (
+        classed.groupBy("token")
+        .agg(F.min("class").alias("main"), F.max("class").alias("last"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
+        .where("main <> last")
+        .select("token", "main", F.xxhash64("c", "x", "y", "main").alias("list"))
     )
+    lists = classed.join(mixed, "token").groupBy("list", "main", "doc", "class").agg(F.min("at").alias("at"), F.count("*").alias("times"))
+    lists = Written(lists, "lists").read()
+    one = lists.where("class <> main").select("list", F.col("doc").alias("u"), F.col("at").alias("au"), F.col("class").alias("cu"), "times")
+    other = lists.select("list", F.col("doc").alias("v"), F.col("at").alias("av"), F.col("class").alias("cv"), "main")
+    across = one.join(other, "list").where("cu <> cv AND (cv = main OR u < v)").where(_may_link("au", "av")).select(*pair, *sized, "times")
     second = Written(_sifted(texts, order, Written(_enough(across), "pairs").read()), "sifted").read().join(first, ["u", "v"], "left_anti")
     links = links.union(Written(_verified(texts, order, second), "links").read())
     classes = Written(components(links), "classes").read()
