@@ -17,7 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: (name, stage). All but the last return the columns of documents: toxic documents go; of equal texts the
 #: row with the largest doc_id stays; of each class of near copies the smallest doc_id stays; the rows are put
-#: in the order of the target weights; texts become piece ids.
+#: in the order of the target weights; texts become piece ids, and position is the row's place in that order.
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxicity_stage),
     ("exact_dedup", dedup_stage),

@@ -151,6 +151,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix: partitions are ranges of positions, sorted inside."""
+    """All documents in the order of the mix: partitions are ranges of positions, sorted inside.
+
+    Written, part files by number hold that order; codec_stage gives it back as position.
+    """
     mixed = mix(docs).withColumnRenamed("position", "_position").select(*docs.columns, "_position")
     return mixed.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)

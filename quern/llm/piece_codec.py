@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,7 +71,32 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with position, the place of a row in the files it is read from: parts by number, rows as written.
+
+    A scan deals files to tasks by size, so the order of its rows is not that of the files. Only the
+    number of rows of each file is gathered.
+    """
+    name = F.col("_metadata.file_name")
+    number = lambda mark: F.regexp_extract(name, mark, 1).try_cast("long")
+    rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = (
+        docs.select(F.col("_metadata.file_path").alias("_file"), number(r"^part-(\d+)-").alias("_part"), number(r"-c(\d+)\.").alias("_piece"), F.col("_metadata.row_index").alias("_row"))
+        .groupBy("_part", "_piece", "_file")
+        .agg((F.max("_row") + 1).alias("_n"))
+    )
+    before = W.orderBy("_part", "_piece", "_file").rowsBetween(W.unboundedPreceding, -1)  # a row a file
+    files = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(files), "_file").select(*[c for c in docs.columns if c != "position"], (F.col("_before") + F.col("_row")).alias("position"))
+
+
 def codec_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their ids and the number of them."""
+    """The documents with their ids and the number of them; those read from files also with position, their order there."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:  # rows that come from no file have no order
+        pass
+    else:
+        docs = _placed(docs)
     made = encode_decode(docs)
     return made.drop("decoded", "agreed").withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))

@@ -138,3 +138,24 @@ def test_pipeline(spark, tiny):
     found = corpus_pipeline.run(spark, tiny).collect()
     assert {r.doc_id for r in found} == survivors and len(found) == len(survivors)
     assert all(r.n_tokens * 4 == len(r.ids) for r in found)
+
+
+def test_order_of_the_mix_survives_files(spark, small):
+    from quern.llm.common import Written
+    from quern.llm.piece_codec import codec_stage
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    was = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        written = Written(mixing.mixing_stage(spark, docs, small), "stage").read()
+        assert len(written.inputFiles()) > 1
+        made = codec_stage(spark, written, small).select("doc_id", "position").collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    want = [r.doc_id for r in mixing.mix(docs).orderBy("position").collect()]
+    assert [r.doc_id for r in sorted(made, key=lambda r: r.position)] == want
+    assert sorted(r.position for r in made) == list(range(len(want)))
