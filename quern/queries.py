@@ -354,6 +354,15 @@ def unpivot_lineitem(spark, d):
     return reshape.unpivot(li, ["l_orderkey"], ["quantity", "discount", "absent"], "name", "value")
 
 
+@query(
+    """SELECT l_orderkey, name, value FROM (UNPIVOT (SELECT l_orderkey, l_quantity AS quantity, CASE WHEN l_discount > 0.05 THEN l_discount END AS discount
+    FROM lineitem) ON quantity, discount INTO NAME name VALUE value)"""
+)
+def unpivot_lineitem_whole(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").alias("quantity"), F.when(F.col("l_discount") > 0.05, F.col("l_discount")).alias("discount"))
+    return reshape.unpivot(li, ["l_orderkey"], ["quantity", "discount", "absent"], "name", "value")
+
+
 @query("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 40) SELECT n FROM t")
 def recursive_seq(spark, d):
     return spark.sql("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 40) SELECT n FROM t")

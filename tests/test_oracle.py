@@ -38,3 +38,8 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["c_mktsegment", "revenue", "n_orders"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_unpivot_reads_all_of_lineitem(spark, tiny):
+    found = queries()["unpivot_lineitem_whole"](spark, tiny).where("name = 'quantity'")
+    assert found.count() == spark.read.parquet(f"{tiny}/lineitem.parquet").where("l_quantity IS NOT NULL").count()
