@@ -485,6 +485,15 @@ def pipeline_join(spark, d):
     return dsl.run_pipeline(tables, dsl.parse_pipeline("load|orders\nfilter|o_orderkey < 500\njoin|customer|o_custkey\nproject|o_orderkey:order,event_kind"), [])
 
 
+@query("SELECT o_orderkey AS \"order\", c_mktsegment AS event_kind FROM orders JOIN customer ON o_custkey = c_custkey")
+def pipeline_join_whole(spark, d):
+    tables = {
+        "orders": table(spark, d, "orders").select("o_orderkey", "o_custkey"),
+        "customer": table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("kind")),
+    }
+    return dsl.run_pipeline(tables, dsl.parse_pipeline("load|orders\njoin|customer|o_custkey\nproject|o_orderkey:order,event_kind"), [])
+
+
 @query("SELECT n_name, CAST(NULL AS BIGINT) AS bytes FROM nation UNION ALL SELECT NULL, count(*) FROM nation")
 def pipeline_preview(spark, d):
     return dsl.run_pipeline({"nation": table(spark, d, "nation")}, dsl.parse_pipeline("load|nation\nproject|n_name\npreview|gray"), [])

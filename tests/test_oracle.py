@@ -43,3 +43,9 @@ def test_entry(spark):
 def test_unpivot_reads_all_of_lineitem(spark, tiny):
     found = queries()["unpivot_lineitem_whole"](spark, tiny).where("name = 'quantity'")
     assert found.count() == spark.read.parquet(f"{tiny}/lineitem.parquet").where("l_quantity IS NOT NULL").count()
+
+
+def test_pipeline_join_reads_all_of_orders(spark, tiny):
+    customers = spark.read.parquet(f"{tiny}/customer.parquet").selectExpr("c_custkey AS o_custkey")
+    whole = spark.read.parquet(f"{tiny}/orders.parquet").join(customers, "o_custkey").count()
+    assert queries()["pipeline_join_whole"](spark, tiny).count() == whole > queries()["pipeline_join"](spark, tiny).count()
