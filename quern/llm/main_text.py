@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
-A tolerant tag scan builds the element tree of a page. Subtrees whose element or class says that they
-are not the article (menus, forms, adverts, comments and the like) are taken out. Every other node
+A tolerant tag scan builds the element tree of a page. Subtrees whose element or whole class says that they
+are not the article (menus, forms, adverts, comments and the like) are taken out; a class that only has such
+a word in it takes out what is mostly links. Every other node
 gets characters per tag, adjusted for links (composite text density); the sum of its children's
 densities decides: the node of the largest sum sets a threshold, the least density on its path from
 body, and below body every node that reaches the threshold gives the largest-sum node of its
@@ -49,6 +50,7 @@ APART = REMARKS | frozenset(
     " breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup"
     " login share sharing social related recommended recommendations pagination pager toolbar widget widgets skip hidden".split()
 )
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar alert".split())
 
 TAG = re.compile(r"<!--(?:.*?--!?>|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/][^>]*>|<[!?][^>]*>", re.S)
@@ -57,22 +59,27 @@ WORDS = re.compile(r"[^a-z0-9]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def _apart(attributes: str) -> str:
-    """'' for a part of the page, 'set' for one set apart by class or role, 'sure' for one never shown or of remarks."""
+def _apart(attributes: str, tag: str = "") -> str:
+    """What class, id, role and style say of an element.
+
+    'sure': never shown; 'remarks' and 'set': every word of a class or of the id, or the role, says so;
+    'doubt': some word of one does, as in has-sidebar or site-footer; '': nothing, as for all headings and paragraphs.
+    """
     found = ""
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
             return "sure"
         if name == "role":
-            if value.strip() in ROLES:
-                found = "set"
-        elif name in ("class", "id"):
-            words = set(WORDS.split(value))
-            if words & REMARKS:
-                return "sure"
-            if words & APART:
+            if value.strip() in ROLES and found != "remarks":
                 found = "set"
+        elif name in ("class", "id") and tag not in PROSE:
+            for token in value.split():
+                words = {w for w in WORDS.split(token) if w}
+                if words and words <= APART:
+                    found = "remarks" if words & REMARKS or found == "remarks" else "set"
+                elif words & APART:
+                    found = found or "doubt"
     return found
 
 
@@ -112,7 +119,7 @@ class Page:
             node = len(tags)
             tags.append(name)
             self.parent.append(stack[-1])
-            self.apart.append("sure" if name in NEVER else _apart(m[3]) if m[3] else "")
+            self.apart.append("sure" if name in NEVER else _apart(m[3], name) if m[3] else "")
             if name in BLOCK:
                 texts.append((stack[-1], " "))
             if name in RAW:
@@ -167,24 +174,62 @@ class Page:
                 if here in SCOPE or here == "li" and name != "li":
                     break
 
+    def _shown(self) -> tuple[list[int], list[int]]:
+        """Characters in the subtree of each node, and those of them in links, without what is never shown."""
+        n, parent, tags = len(self.tag), self.parent, self.tag
+        off, in_link, chars, link_chars = [False] * n, [False] * n, [0] * n, [0] * n
+        for i in range(1, n):
+            off[i] = off[parent[i]] or self.apart[i] == "sure"
+            in_link[i] = in_link[parent[i]] or tags[i] == "a"
+        for node, text in self.texts:
+            if not off[node]:
+                size = len(" ".join(text.split()))
+                chars[node] += size
+                if in_link[node]:
+                    link_chars[node] += size
+        for i in range(n - 1, 0, -1):
+            chars[parent[i]] += chars[i]
+            link_chars[parent[i]] += link_chars[i]
+        return chars, link_chars
+
     def removed(self) -> list[bool]:
-        """Whether a node stands in a subtree that is not the article's."""
+        """Whether a node stands in a subtree that is not the article's.
+
+        A mark by name takes out no element that holds an article or, on a page with none, most of the text outside links;
+        remarks go even if they hold articles of their own, unless those are the page's only ones and most of its
+        text. Where the name leaves a doubt, only an element whose text is mostly links goes.
+        """
         n, tags, parent = len(self.tag), self.tag, self.parent
         holds = [False] * n  # an article or main element below that isn't itself set apart
+        articles = [0] * n
         for i in range(n - 1, 0, -1):
-            if holds[i] or tags[i] in ("article", "main") and not self.apart[i]:
+            own = tags[i] in ("article", "main") and self.apart[i] in ("", "doubt")
+            articles[parent[i]] += articles[i] + own
+            if holds[i] or own:
                 holds[parent[i]] = True
+        chars = link_chars = [0] * n
+        if any(mark in ("remarks", "set", "doubt") for mark in self.apart):
+            chars, link_chars = self._shown()
+        plain = chars[0] - link_chars[0]
         out, inside = [False] * n, [False] * n
         for i in range(1, n):
             p, tag = parent[i], tags[i]
-            inside[i] = inside[p] or tag in ("article", "main") and not self.apart[i]
+            inside[i] = inside[p] or tag in ("article", "main") and self.apart[i] in ("", "doubt")
             mark = self.apart[i]
             if tag == "header" and not inside[i] and not holds[i]:
                 mark = "sure"
-            if mark == "set" and (tag in ("html", "body") or holds[i] or tag in ("article", "main")):
-                mark = ""
-            out[i] = out[p] or mark == "sure" and tag not in ("html", "body")
-            out[i] = out[i] or mark == "set"
+            if mark in ("remarks", "set", "doubt"):
+                most = 2 * (chars[i] - link_chars[i]) > plain and articles[i] == articles[0]
+                if tag in ("html", "body"):
+                    mark = ""
+                elif mark == "remarks":
+                    if most and articles[0]:
+                        mark = ""
+                elif most or holds[i] or tag in ("article", "main"):
+                    mark = ""
+                elif mark == "doubt" and 2 * link_chars[i] <= chars[i]:
+                    mark = ""
+            out[i] = out[p] or mark != "" and tag not in ("html", "body")
         return out
 
     def main_text(self) -> str:

@@ -232,3 +232,22 @@ def test_training_without_both_labels(spark):
     docs = spark.createDataFrame([(1, "a", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     none = toxicity.train(*toxicity.sample(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")))
     assert none.score([["a"]])[0] < 0.3
+
+
+LONG = "Words of the article stand here. " * 8
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<article><h1>T</h1><div class='overflow-hidden lg:hidden'><p>{LONG}</p></div><p>End.</p></article>", f"T {LONG}End."),
+        (f"<body><div class='content has-sidebar'><p>{LONG}</p></div><div class=sidebar>aside</div></body>", LONG.strip()),
+        (f"<article><p>{LONG}</p><h2 id='related-work'>Related work</h2><p>{LONG}</p><h2 id=notice>Notice</h2><p>More.</p></article>", f"{LONG}Related work {LONG}Notice More."),
+        (f"<body><div class='with-comments'><article><p>{LONG}</p></article></div></body>", LONG.strip()),
+        (f"<body><div class='comments'><article><p>{LONG}</p></article></div><p>x</p></body>", LONG.strip()),
+        (f"<article><p>{LONG}</p><section id=comments><article>{LONG}{LONG}</article></section></article>", LONG.strip()),
+        (f"<article><p>{LONG}</p><div class='site-share'><a href=x>Tell all</a></div></article>", LONG.strip()),
+    ],
+)
+def test_class_names_of_wrappers_and_headings(html, want):
+    assert main_text.main_text(html) == want
