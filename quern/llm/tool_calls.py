@@ -9,8 +9,9 @@ calls by objects {"$from": "<id>"}; the message then depends on that call's resu
 
 Order. Messages keep the order of their turns unless a link contradicts it: a message follows what it
 depends on. Its place is (after, depth): ``after`` is the largest turn among itself and all it depends on, directly or
-not, depth the links since a message that has its own turn there. Places are found by rounds of joins until none moves; messages
-on a circle of links, or behind one, never settle: they are marked and keep their own turns.
+not, depth the links since a message that has its own turn there. Places are found exactly, with no bound on
+the links: chains by doubling, the rest by rounds of joins until none settles. Messages on a circle of links, or behind one at the
+same ``after``, never settle: they are marked and keep their own turns.
 
 Validation. Arguments are checked against the schema of the tool: missing and unknown names, and types.
 
@@ -31,7 +32,6 @@ TOOLS: dict[str, dict[str, tuple[str, bool]]] = {
     "weather": {"city": ("string", True), "days": ("integer", False), "metric": ("boolean", False)},
     "fetch": {"url": ("string", True), "headers": ("object", False)},
 }
-MAX_ROUNDS = 64
 CALLS = "array<struct<id: string, name: string, arguments: string>>"
 #: How a variant's type is written, by JSON type.
 KINDS = {"string": "STRING", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "integer": "BIGINT", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*"}
@@ -146,37 +146,109 @@ def format_chat(
     )
 
 
-def _places(edges: DataFrame) -> DataFrame:
-    """(conv_id, turn, after, depth, circular) of the messages that links move."""
-    nodes = edges.select("conv_id", "turn").union(edges.select("conv_id", F.col("source").alias("turn"))).distinct()
-    now = nodes.select("conv_id", "turn", F.col("turn").alias("after"), F.lit(0).cast("long").alias("depth"))
-    if edges.where("source > turn").isEmpty():  # every link goes forward in turns: none moves
-        return now.withColumn("circular", F.lit(False)).where("after <> turn")
-    at = Written(now, "places")
-    for _ in range(MAX_ROUNDS):
-        before = at.read().select("conv_id", F.col("turn").alias("source"), F.col("after").alias("a"), F.col("depth").alias("d"))
-        reached = edges.join(before, ["conv_id", "source"]).groupBy("conv_id", "turn").agg(F.max(F.struct("a", "d")).alias("m"))
-        step = at.read().join(reached, ["conv_id", "turn"], "left")
-        moved = F.expr("m IS NOT NULL AND m.a >= turn")
+def _chains(edges: DataFrame) -> Written:
+    """Messages with one source: (conv_id, turn, up, m, k, len, loop, endless), found by doubling.
+
+    up is the first message upwards that has no source or several, len the links from there, m the largest turn
+    below up, k the links since it. A place (a, d) of up gives (a, d + len) if a >= m, else (m, k). A chain
+    that runs in a circle has no such up and is endless; loop: m stands on the circle.
+    """
+    single = edges.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.min("source").alias("up")).where("n = 1")
+    chains = Written(
+        single.select("conv_id", "turn", "up", F.col("turn").alias("m"), F.lit(0).cast("long").alias("k"), F.lit(1).cast("long").alias("len"), F.lit(False).alias("loop"), F.lit(False).alias("endless")), "chains"
+    )
+    most = chains.read().groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    reach = 1
+    while True:
+        now = chains.read()
+        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("m").alias("m2"), F.col("k").alias("k2"), F.col("len").alias("len2"), F.col("loop").alias("loop2"))
+        step = now.join(above, ["conv_id", "up"], "left")
         step = step.select(
-            "conv_id", "turn", F.when(moved, F.col("m.a")).otherwise(F.col("turn")).alias("after"), F.when(moved, F.col("m.d") + 1).otherwise(F.lit(0).cast("long")).alias("depth"),
-            F.when(moved, (F.col("m.a") != F.col("after")) | (F.col("m.d") + 1 != F.col("depth"))).otherwise((F.col("after") != F.col("turn")) | (F.col("depth") != 0)).alias("moving"),
+            "conv_id", "turn", F.coalesce("up2", "up").alias("up"), F.greatest("m", "m2").alias("m"),
+            F.when(F.col("m2") >= F.col("m"), F.col("k2") + F.col("len")).otherwise(F.col("k")).alias("k"),
+            (F.col("len") + F.coalesce("len2", F.lit(0))).alias("len"),
+            F.when(F.col("m2") > F.col("m"), F.col("loop2")).otherwise(F.col("loop") | F.coalesce(F.col("m2") == F.col("m"), F.lit(False))).alias("loop"),
+            F.col("up2").isNotNull().alias("endless"),
         )
+        following = Written(step, "chains")
+        chains.discard()
+        chains, reach = following, 2 * reach
+        # What still climbs after twice the messages there are has passed its circle twice.
+        if chains.read().where("endless").isEmpty() or reach > 4 * most:
+            return chains
+
+
+def _places(edges: DataFrame) -> DataFrame:
+    """(conv_id, turn, after, depth, circular) of the messages that links move.
+
+    Only conversations with a backward link are looked at. Chains of messages with one source are settled by doubling;
+    those with several first hear the largest turn above them, until none hears more, and then settle once all sources of the
+    same ``after`` have, until none more does. What is left is on a circle or behind one.
+    """
+    backward = edges.where("source > turn").select("conv_id").distinct()
+    if backward.isEmpty():  # every link goes forward in turns: none moves
+        return edges.select("conv_id", "turn", F.col("turn").alias("after"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("circular")).where("false")
+    edges = Written(edges.join(backward, "conv_id", "left_semi"), "edges").read()
+    chains = _chains(edges).read()
+    targets = edges.groupBy("conv_id", "turn").agg(F.count("*").alias("n"))
+    roots = edges.select("conv_id", F.col("source").alias("turn")).distinct().join(targets, ["conv_id", "turn"], "left_anti")
+    merging = targets.where("n > 1").select("conv_id", "turn")
+    above = chains.select("conv_id", F.col("turn").alias("source"), "up", "m", "k", "len", "loop", "endless")
+    links = edges.join(merging, ["conv_id", "turn"]).join(above, ["conv_id", "source"], "left")
+    none = F.lit(-(2**63)).cast("long")  # below every turn
+    links = Written(
+        links.select(
+            "conv_id", "turn", F.coalesce("up", "source").alias("up"), F.coalesce("m", none).alias("m"), F.coalesce("k", F.lit(0)).cast("long").alias("k"), F.coalesce("len", F.lit(0)).cast("long").alias("len"),
+            F.coalesce("loop", F.lit(False)).alias("loop"), F.coalesce("endless", F.lit(False)).alias("endless"),
+        ),
+        "links",
+    ).read()
+
+    known = roots.select("conv_id", "turn", F.col("turn").alias("after"), F.lit(0).cast("long").alias("depth")).union(merging.select("conv_id", "turn", F.col("turn").alias("after"), F.lit(None).cast("long").alias("depth")))
+    at = Written(known, "places")
+
+    def heard() -> DataFrame:
+        over = at.read().select("conv_id", F.col("turn").alias("up"), F.col("after").alias("a"), F.col("depth").alias("d"))
+        return links.join(over, ["conv_id", "up"], "left")
+
+    def follow(step: DataFrame) -> bool:
+        nonlocal at
         following = Written(step, "places")
         at.discard()
         at = following
-        if at.read().where("moving").isEmpty():
-            return at.read().select("conv_id", "turn", "after", "depth", F.lit(False).alias("circular")).where("after <> turn OR depth <> 0")
-    # What still moves, and all that stands at the same place, is on a circle or depends on one.
-    left = at.read()
-    circles = left.where("moving").select("conv_id", "after").distinct().withColumn("circle", F.lit(True))
-    left = left.join(circles, ["conv_id", "after"], "left").withColumn("circular", F.coalesce("circle", F.lit(False)) & (F.col("depth") > 0) | F.col("moving"))
-    return left.select(
-        "conv_id",
-        "turn",
-        F.when(F.col("circular"), F.col("turn")).otherwise(F.col("after")).alias("after"),
-        F.when(F.col("circular"), F.lit(0).cast("long")).otherwise(F.col("depth")).alias("depth"),
-        "circular",
+        return not at.read().where("moving").isEmpty()
+
+    several = not merging.isEmpty()
+    moving = several
+    while moving:
+        most = heard().groupBy("conv_id", "turn").agg(F.max(F.greatest("m", F.when(F.col("endless"), none).otherwise(F.col("a")))).alias("most"))
+        step = at.read().join(most, ["conv_id", "turn"], "left")
+        moving = follow(step.select("conv_id", "turn", F.greatest("after", "most").alias("after"), "depth", F.coalesce(F.col("most") > F.col("after"), F.lit(False)).alias("moving")))
+    moving = several
+    while moving:
+        own = at.read().select("conv_id", "turn", "after")
+        # A link counts if it brings the message's own after; its depth is null as long as it isn't settled.
+        through = heard().join(own, ["conv_id", "turn"])
+        by_up = F.expr("NOT endless AND a >= m")
+        brought = F.when(by_up, F.col("a")).otherwise(F.col("m"))
+        depth = F.when(by_up, F.col("d") + F.col("len")).when(~F.col("loop"), F.col("k"))
+        through = through.select("conv_id", "turn", (brought == F.col("after")).alias("counts"), depth.alias("d"))
+        ready = through.groupBy("conv_id", "turn").agg(F.coalesce(F.bool_and(F.expr("NOT counts OR d IS NOT NULL")), F.lit(False)).alias("ready"), F.expr("coalesce(max(d) FILTER (WHERE counts) + 1, 0)").alias("d"))
+        step = at.read().join(ready, ["conv_id", "turn"], "left")
+        settles = F.expr("depth IS NULL AND ready")
+        moving = follow(step.select("conv_id", "turn", "after", F.when(settles, F.col("d")).otherwise(F.col("depth")).alias("depth"), settles.alias("moving")))
+
+    places = at.read().select("conv_id", "turn", "after", "depth")
+    over = places.select("conv_id", F.col("turn").alias("up"), F.col("after").alias("a"), F.col("depth").alias("d"))
+    by_up = F.expr("NOT endless AND a >= m")
+    hung = chains.join(over, ["conv_id", "up"], "left").select(
+        "conv_id", "turn", F.when(by_up, F.col("a")).otherwise(F.col("m")).alias("after"), F.when(by_up, F.col("d") + F.col("len")).when(~F.col("loop"), F.col("k")).alias("depth")
+    )
+    circular = F.col("depth").isNull()
+    return (
+        places.union(hung)
+        .select("conv_id", "turn", F.when(circular, F.col("turn")).otherwise(F.col("after")).alias("after"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), circular.alias("circular"))
+        .where("circular OR after <> turn OR depth <> 0")
     )
 
 

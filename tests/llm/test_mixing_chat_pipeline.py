@@ -159,3 +159,42 @@ def test_order_of_the_mix_survives_files(spark, small):
     want = [r.doc_id for r in mixing.mix(docs).orderBy("position").collect()]
     assert [r.doc_id for r in sorted(made, key=lambda r: r.position)] == want
     assert sorted(r.position for r in made) == list(range(len(want)))
+
+
+def brute_places(edges):
+    """(after, depth), or None on a circle or behind one: longest paths from the largest turn above a message."""
+    above = {}
+    for s, t in edges:
+        above.setdefault(t, set()).add(s)
+        above.setdefault(s, set())
+    reach = {v: {v} for v in above}
+    for _ in above:
+        reach = {v: reach[v].union(*[reach[s] for s in above[v]]) for v in above}
+    after, depth = {v: max(r) for v, r in reach.items()}, {}
+    for _ in above:
+        for v in above:
+            near = [s for s in above[v] if after[s] == after[v]]
+            if v not in depth and all(s in depth for s in near):
+                depth[v] = max([depth[s] + 1 for s in near], default=0)
+    return {v: (after[v], depth[v]) if v in depth else None for v in above}
+
+
+def test_places(spark):
+    import random
+
+    rng = random.Random(11)
+    graphs = [[(200 - i, 199 - i) for i in range(200)]]  # newest first: 200 links
+    graphs.append([(300, 1), *[(i, i + 1) for i in range(1, 250)]])  # forward behind one backward link
+    graphs.append([(3, 1), (1, 2), (2, 3), (3, 4), (4, 9), (9, 5), (5, 6), (2, 7), (8, 0), (0, 1)])  # a circle, and messages behind it
+    for _ in range(150):
+        n = rng.randint(2, 9)
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(1, 2 * n))}
+        graphs.append([(s, t) for s, t in pairs if s != t])
+    rows = [(c, s, t) for c, g in enumerate(graphs) for s, t in g]
+    found = {(r.conv_id, r.turn): r for r in tool_calls._places(spark.createDataFrame(rows, "conv_id long, source long, turn long")).collect()}
+    for c, g in enumerate(graphs):
+        for v, want in brute_places(g).items():
+            r = found.get((c, v))
+            got = (v, 0) if r is None else None if r.circular else (r.after, r.depth)
+            assert got == want, (c, g, v)
+    assert found[0, 0].after == 200 and found[0, 0].depth == 200
