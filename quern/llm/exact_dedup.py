@@ -5,10 +5,11 @@ key holds the whole text, the map side unites copies before the shuffle, so a te
 the corpus repeats costs one row a task. Each distinct text gives one slim entry (key, SHA-256, row
 that stays, copies), and the entries are written to the shared folder. Buckets are prefixes of the
 key: the directory starts at the depth that fits the number of entries, and doubles as long as a bucket holds more
-than ``bucket_capacity`` entries; only overfull buckets split. An owner task holds a range of
-directory slots; inside, entries of one key with different bytes form a chain.
+than ``bucket_capacity`` entries; only overfull buckets split. Inside a slot, entries of one
+key with different bytes are numbered as a chain.
 
-Probe. Every row looks its key and digest up in the chain. Should two different texts agree in both,
+Probe. What answers is the grouping by bytes: every row is hash-joined to the entries by key and digest. Slot, depth and chain
+describe the index; no task owns a range of slots, and the probe reads none of the three. Should two different texts agree in both,
 their rows are looked up by the text itself, so the answer never rests on a digest.
 """
 
