@@ -116,13 +116,32 @@ def mutated(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed, common_min", [(1, 32), (2, 2)])
-def test_shingle_classes(spark, monkeypatch, seed, common_min):
-    """A low bound makes many shingles common, so the order is put to the test."""
-    monkeypatch.setattr(shingle_join, "COMMON_MIN", common_min)
+@pytest.mark.parametrize("seed, limit", [(1, 2_000_000), (2, 300), (3, 1)])
+def test_shingle_classes(spark, seed, limit):
+    """Small slices put the counts across slices to the test."""
     rows = mutated(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert sorted(tuple(r) for r in shingle_join.shingle_classes(df).collect()) == classes(rows)
+    assert sorted(tuple(r) for r in shingle_join.shingle_classes(df, slice_shingles=limit).collect()) == classes(rows)
+
+
+def test_shingle_family_and_copies(spark):
+    """A family of near copies beside exact copies, repeated rows, a repeated id with two texts, and a very long text."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 9])):
+            text[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((1000 - i, " ".join(text)))
+    rows += [(2000 + i, "same words in every one of these copies") for i in range(80)]
+    rows += [(3000, " ".join(f"l{i}" for i in range(60_000))), (3001, " ".join(f"l{i}" for i in range(59_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = classes(rows)
+    assert sorted(tuple(r) for r in shingle_join.shingle_classes(df, slice_shingles=2000).collect()) == want
+    twice = rows + rows[:40] + [(1000, "another text under an id that is taken")]
+    found = sorted(tuple(r) for r in shingle_join.shingle_classes(spark.createDataFrame(twice, "doc_id long, text string")).collect())
+    assert found == sorted(want + [w for r in rows[:40] for w in want if w[0] == r[0]] + [(1000, 4, 1000)])
 
 
 def test_shingle_edges(spark):
@@ -140,6 +159,27 @@ def test_long_words_and_texts_hash_apart():
     texts = ["a" * 40 + "b", "a" * 40 + "c", "word " * 30_000, "ab", "ba", "abc" * 20, "acb" * 20]
     hashes, count = shingle_join.word_hashes(pa.array(texts))
     assert count.tolist() == [1, 1, 30_000, 1, 1, 1, 1] and len(set(hashes.tolist())) == 7
+    thue, other = "a", "b"
+    for _ in range(12):  # words on which every polynomial modulo a power of two agrees
+        thue, other = thue + other, other + thue
+        assert len(set(shingle_join.word_hashes(pa.array([thue, other]))[0].tolist())) == 2
+
+
+def test_word_hashes_know_words_only():
+    """Equal words have equal hashes wherever they stand, in whatever case; different words differ."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abAB\x00é \n\t\x0b\u2003日") for _ in range(rng.choice([0, 1, 7, 8, 9, 30, 200]))) for _ in range(400)] + [None, "x" * 64, "x" * 65, " ", ""]
+    hashes, count = shingle_join.word_hashes(pa.array(texts))
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    assert count.tolist() == [len(w) for w in words]
+    seen = {}
+    for word, h in zip((w for ws in words for w in ws), hashes.tolist(), strict=True):
+        assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+    part = pa.array(texts).slice(13, 200)
+    assert shingle_join.word_hashes(part)[0].tolist() == hashes[sum(count[:13]) : sum(count[:213])].tolist()
 
 
 def test_need():
