@@ -43,21 +43,47 @@ def expected(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bits, digest, capacity", [(64, 256, 4096), (64, 256, 2), (3, 256, 2), (2, 8, 1), (1, 8, 2)])
-def test_exact_dedup(spark, bits, digest, capacity):
-    """Short keys and digests force chains and texts that agree in both."""
+@pytest.mark.parametrize("bits, digest, capacity, hot", [(64, 256, 4096, 256), (64, 256, 2, 1), (3, 256, 2, 256), (2, 8, 1, 1), (1, 8, 2, 3)])
+def test_exact_dedup(spark, bits, digest, capacity, hot):
+    """Short keys and digests force chains and texts that agree in both; a low bound makes hot keys."""
     rows = list(enumerate(TEXTS)) + [(None, "a"), (None, "only here")]
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, key int, keep_id string")
-    found = exact_dedup.exact_dedup(df, key_bits=bits, digest_bits=digest, capacity=capacity)
+    found = exact_dedup.exact_dedup(df, key_bits=bits, digest_bits=digest, capacity=capacity, hot_rows=hot)
     assert sorted([tuple(r) for r in found.collect()], key=str) == expected(rows)
 
 
-def test_directory_doubles(spark):
-    df = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
-    index = exact_dedup.build_index(df, capacity=64)
-    assert index.count() == 3000 and index.selectExpr("max(depth)").first()[0] >= 6
-    per_bucket = index.selectExpr("depth", "slot").groupBy("depth", "slot").count()
-    assert per_bucket.selectExpr("max(count)").first()[0] <= 64
+def test_directory_doubles_and_owners_hold_ranges(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 2900) AS text").repartition(6)
+    index = exact_dedup.Index(df, capacity=64)
+    entries = index.entries.collect()
+    assert len(entries) == 2900 and max(e.depth for e in entries) >= 6
+    buckets = {}
+    for e in entries:
+        key = e.key & (1 << 64) - 1
+        assert key >> (64 - e.depth) == e.bucket
+        buckets.setdefault((e.depth, e.bucket), []).append(key)
+    assert max(map(len, buckets.values())) <= 64
+    # Every owner has a range of keys of its own, and every bucket one owner.
+    ranges = {}
+    owner = {}
+    for m in index.members.collect():
+        ranges.setdefault(m.owner, []).append(m.key & (1 << 64) - 1)
+        assert owner.setdefault((m.depth, m.bucket), m.owner) == m.owner
+    ordered = [(min(v), max(v)) for _, v in sorted(ranges.items())]
+    assert len(ordered) > 1 and all(a[1] < b[0] for a, b in zip(ordered, ordered[1:], strict=False))
+
+
+def test_the_index_answers(spark):
+    """What the probe returns comes from the entries at bucket and chain: tampering with either shows."""
+    df = spark.createDataFrame([(i, f"text {i % 5}") for i in range(40)], "doc_id long, text string")
+    index = exact_dedup.Index(df, key_bits=1)
+    right = sorted(tuple(r) for r in index.probe().collect())
+    sound = index.entries
+    assert sound.selectExpr("max(chain)").first()[0] > 1
+    index.entries = sound.withColumn("chain", sound.chain % 3 + 1)
+    assert sorted(tuple(r) for r in index.probe().collect()) != right
+    index.entries = sound.withColumn("bucket", sound.bucket + 1)
+    assert index.probe().count() < len(right)
 
 
 def test_index_of_nothing(spark):
