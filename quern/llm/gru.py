@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 
 WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 1 << 14, 1 << 14, 12, 16, 12, 12
+#: Longer words are cut into steps of so many characters.
 GRAM_SIZES, WORD_CHARS = (3, 4, 5), 24
 STEPS, STRIDE = 64, 48
 

@@ -1,9 +1,12 @@
 """Toxicity of documents: a recurrent network over all overlapping windows of words.
 
-Training is bounded: at most ``POSITIVE`` toxic and ``NEGATIVE`` other labelled documents, the first by
-a hash of their id, and at most ``SAMPLE_WINDOWS`` evenly spaced windows of each; it runs on the driver.
-Scoring covers every window of every text: windows of 64 words, each 48 words after the one before,
-the last one ending with the text. A document's score is logistic in the mean window probability and
+A word is a run of letters, digits and underscores, or a run of other signs but white space; runs of more than 24 characters are
+cut into steps of 24, so every character is read. Windows are 64 words long, each begins 48 words after the one
+before, the last one ends with the text: neighbours overlap in 16 words at least, and every word is covered.
+
+Training is bounded in rows: at most ``POSITIVE`` toxic and ``NEGATIVE`` other labelled documents, the first by
+a hash of their id, all windows of each; it runs on the driver. The number of passes over them falls as their windows
+become more. Scoring covers every window of every text. A document's score is logistic in the mean window probability and
 the largest window logit, fitted on a quarter of the sample that the network does not train on.
 """
 
@@ -18,13 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, slices, table
-from .gru import HIDDEN, STEPS, STRIDE, Network, Trainer
+from .gru import HIDDEN, STEPS, STRIDE, WORD_CHARS, Network, Trainer
 
-POSITIVE, NEGATIVE, SAMPLE_WINDOWS = 1500, 3000, 16
-EPOCHS, WINDOWS_AN_EPOCH, BATCH = 4, 4, 256
+POSITIVE, NEGATIVE = 1500, 3000
+#: Passes over the sample: so many windows in all, within these bounds.
+WINDOWS_TRAINED, LEAST_EPOCHS, MOST_EPOCHS, BATCH = 50_000, 2, 16, 256
+#: All windows of a document together weigh as much as so many, so that long documents don't rule the training.
+DOC_WINDOWS = 4
 THRESHOLD = 0.3
 KNOWN_WORDS = 100_000
-find_words = re.compile(r"[^\W_]+").findall
+find_words = re.compile(rf"\w{{1,{WORD_CHARS}}}|[^\w\s]{{1,{WORD_CHARS}}}").findall
 
 
 def words_of(text: str | None) -> list[str]:
@@ -43,34 +49,23 @@ def held_out(doc_id) -> F.Column:
 def sample(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> tuple[list[list[list[str]]], np.ndarray, np.ndarray]:
     """Windows (lists of words) of the sampled documents, their labels, and the rows that each stands for.
 
-    Held-out rows are left out. The last are counted over all other labelled rows, so that the fit keeps
+    Held-out rows are left out. A document that has both labels counts as toxic; of rows that repeat an id the least text is
+    read. The last are counted over all other labelled rows, so that the fit keeps
     the corpus's share of toxic documents whatever the sample's.
     """
     ship(docs.sparkSession)
-    usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    labelled = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    usable = labelled.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = F.xxhash64("doc_id")
-    chosen = (
-        usable.where("toxic = 1").orderBy(order, "doc_id").limit(positive).union(usable.where("toxic = 0").orderBy(order, "doc_id").limit(negative)).dropDuplicates(["doc_id"])
-    )
+    chosen = usable.where("toxic = 1").orderBy(order, "doc_id").limit(positive).union(usable.where("toxic = 0").orderBy(order, "doc_id").limit(negative))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "text")):
-            out = []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                at = starts(len(words))
-                if len(at) > SAMPLE_WINDOWS:
-                    at = [at[i * (len(at) - 1) // (SAMPLE_WINDOWS - 1)] for i in range(SAMPLE_WINDOWS)]
-                out.append([" ".join(words[a : a + STEPS]) for a in at])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "toxic", "windows"])
-
-    found = texts.mapInArrow(run, "doc_id long, toxic int, windows array<string>").collect()  # bounded by the limits above
-    found.sort(key=lambda r: (r.doc_id, r.windows))
+    found = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # a row for each of the documents chosen above
+    found.sort(key=lambda r: r.doc_id)
     label = np.array([r.toxic for r in found], dtype=np.float32)
     total = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
     stands = np.array([total[int(y)] / (label == y).sum() for y in label])
-    return [[w.split(" ") if w else [] for w in r.windows] for r in found], label, stands
+    words = (words_of(r.text) for r in found)
+    return [[w[a : a + STEPS] for a in starts(len(w))] for w in words], label, stands
 
 
 def _pad(windows: list[list[int]], pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,20 +161,22 @@ def train(windows: list[list[list[str]]], label: np.ndarray, stands: np.ndarray,
         learn = ~apart
     names = list(vocabulary)
     trainer = Trainer(net)
-    epochs = EPOCHS if len(label) > 1500 else EPOCHS * 4
+    share = np.array([min(1.0, DOC_WINDOWS / max(1, len(doc))) for doc in coded])
+    every = [(d, k) for d, doc in enumerate(coded) if learn[d] for k in range(len(doc))]
+    epochs = min(MOST_EPOCHS, max(LEAST_EPOCHS, WINDOWS_TRAINED // len(every)))
     for epoch in range(epochs):
-        trainer.rate = 0.01 * (1 - epoch / epochs) + 0.001
-        picked = [(d, k) for d, doc in enumerate(coded) if learn[d] for k in (rng.permutation(len(doc))[:WINDOWS_AN_EPOCH])]
-        rng.shuffle(picked)
-        for at in range(0, len(picked), BATCH):
-            part = picked[at : at + BATCH]
+        rng.shuffle(every)
+        for at in range(0, len(every), BATCH):
+            trainer.rate = 0.01 * (1 - (epoch + at / len(every)) / epochs) + 0.001
+            part = every[at : at + BATCH]
             distinct, local = np.unique(np.concatenate([np.array(coded[d][k], dtype=np.int64) for d, k in part]), return_inverse=True)
             if not len(distinct):
                 continue
             cuts = np.cumsum([len(coded[d][k]) for d, k in part])[:-1]
             rows, length = _pad([x.tolist() for x in np.split(local, cuts)], len(distinct))
             y = label[[d for d, _ in part]]
-            weight = np.where(y == 1, 2.0, 1.0).astype(np.float32) / len(part)
+            weight = np.where(y == 1, 2.0, 1.0) * share[[d for d, _ in part]]
+            weight = (weight / weight.sum()).astype(np.float32)
             trainer.step([names[i] for i in distinct], rows, length, y, weight)
     scorer = Scorer(net, np.zeros(3))
     features = scorer.features(*_window_logits(scorer, [w for w, a in zip(windows, apart, strict=True) if a]))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 
 import numpy as np
@@ -251,3 +252,64 @@ LONG = "Words of the article stand here. " * 8
 )
 def test_class_names_of_wrappers_and_headings(html, want):
     assert main_text.main_text(html) == want
+
+
+def test_every_character_is_read():
+    assert toxicity.words_of("Ab_c, d!?  \U0001f600\n" + "x" * 50) == ["ab_c", ",", "d", "!?", "\U0001f600", "x" * 24, "x" * 24, "xx"]
+    assert toxicity.words_of("*** ---") == ["***", "---"] and toxicity.words_of(None) == toxicity.words_of(" \n") == []
+    rng = random.Random(2)
+    for _ in range(200):
+        text = "".join(rng.choice("aB_é日*!.\U0001f600 \n\t") for _ in range(rng.randint(0, 80)))
+        assert "".join(toxicity.words_of(text)) == re.sub(r"\s", "", text.lower())
+
+
+def test_sample_is_bounded_and_settled(spark):
+    """Repeated ids give one document each, a document with both labels is toxic, and order doesn't matter."""
+    docs = [(i % 40, f"text {i} " + "w " * 100) for i in range(200)] + [(None, "nothing")]
+    labels = [(i, 1, 1) for i in range(30)] + [(i, 1, 0) for i in range(10, 40)] + [(i, 1, 0) for i in range(10, 40)] + [(None, 1, 1), (5, 1, None)]
+    made = []
+    for turn in (1, -1):
+        made.append(toxicity.sample(spark.createDataFrame(docs[::turn], "doc_id long, text string").repartition(4), spark.createDataFrame(labels[::turn], "doc_id long, quality int, toxic int"), 12, 5))
+    assert made[0][0] == made[1][0] and made[0][1].tolist() == made[1][1].tolist()
+    import zlib
+
+    free = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    toxic = sum(i < 30 for i in free)
+    assert len(made[0][1]) == min(12, toxic) + min(5, len(free) - toxic)
+    assert made[0][2].sum() == pytest.approx(len(free))
+    assert all(len(doc) == len(toxicity.starts(102)) for doc in made[0][0])
+
+
+def test_windows_one_by_one():
+    """Scores of texts in one batch equal those put together window by window, in plain steps."""
+    rng = random.Random(3)
+    scorer = toxicity.Scorer(gru.Network(5), np.array([-0.3, 0.7, 0.2]))
+    w, h = scorer.net.w, gru.HIDDEN
+    texts = [[rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(n)] for n in (0, 1, 5, 64, 65, 130, 300)]
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    def logit(words):
+        if not words:
+            return float(w["bo"][0])
+        x = scorer.net.inputs(words).astype(float)
+        states = []
+        for k, way in enumerate((range(len(words)), range(len(words) - 1, -1, -1))):
+            s, out = np.zeros(h), {}
+            for i in way:
+                g, a = x[i, 3 * h * k : 3 * h * (k + 1)], s @ w["u"][k]
+                r, z = sigmoid(g[:h] + a[:h]), sigmoid(g[h : 2 * h] + a[h : 2 * h])
+                cand = np.tanh(g[2 * h :] + r * (a[2 * h :] + w["bn"][k, 0]))
+                s = (1 - z) * cand + z * s
+                out[i] = s
+            states.append(out)
+        hidden = np.array([np.concatenate([states[0][i], states[1][i]]) for i in range(len(words))])
+        e = np.tanh(hidden @ w["wa"] + w["ba"]) @ w["va"]
+        alpha = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        return float((alpha @ hidden) @ w["wo"] + w["bo"][0])
+
+    for text, got in zip(texts, scorer.score(texts), strict=True):
+        logits = np.array([logit(text[a : a + gru.STEPS]) for a in toxicity.starts(len(text))])
+        features = np.array([1, sigmoid(logits).mean() * 6 - 3, logits.max()])
+        assert got == pytest.approx(sigmoid(features @ scorer.fit), abs=1e-4)
