@@ -26,8 +26,11 @@ class ExpressionError(ValueError):
 
 @dataclass(frozen=True)
 class Typed:
+    """``bare``: for a filter, the column as the scan can take it, null for false."""
+
     kind: str
     column: Column
+    bare: Column | None = None
 
 
 def none() -> Typed:
@@ -118,9 +121,11 @@ def call(name: str, args: list[Typed]) -> Typed:
     if name == "len" and len(args) == 1:
         return Typed("int", scalars.byte_length(columns[0]).cast("long") if kinds == ["text"] else F.lit(0).cast("long"))
     if name == "contains" and len(args) == 2:
-        return Typed("bool", scalars.contains(*columns) if kinds == ["text", "text"] else F.lit(False))
+        return Typed("bool", scalars.contains(*columns), F.contains(*columns)) if kinds == ["text", "text"] else Typed("bool", F.lit(False))
     if name == "between" and len(args) in (2, 3):
-        return Typed("bool", scalars.between(*columns) if set(kinds) == {"int"} else F.lit(False))
+        if set(kinds) != {"int"}:
+            return Typed("bool", F.lit(False))
+        return Typed("bool", scalars.between(*columns), columns[0].between(columns[1], columns[2] if len(args) == 3 else columns[1] + 10))
     if name == "bucket" and len(args) in (1, 2):
         if kinds[0] != "int":
             return Typed("int", F.lit(0).cast("long"))
@@ -130,10 +135,11 @@ def call(name: str, args: list[Typed]) -> Typed:
 
 def binary(sign: str, a: Typed, b: Typed) -> Typed:
     ints = a.kind == b.kind == "int"
-    if sign == "=":
-        return Typed("bool", F.coalesce(a.column == b.column, F.lit(False)) if a.kind == b.kind != "none" else F.lit(False))
-    if sign in "<>":
-        return Typed("bool", F.coalesce(a.column < b.column if sign == "<" else a.column > b.column, F.lit(False)) if ints else F.lit(False))
+    if sign in "=<>":
+        if not (ints or sign == "=" and a.kind == b.kind != "none"):
+            return Typed("bool", F.lit(False))
+        bare = a.column == b.column if sign == "=" else a.column < b.column if sign == "<" else a.column > b.column
+        return Typed("bool", F.coalesce(bare, F.lit(False)), bare)
     if not ints:
         return none()
     return Typed("int", {"+": lambda: a.column + b.column, "-": lambda: a.column - b.column, "*": lambda: a.column * b.column, "/": lambda: scalars.divide(a.column, b.column)}[sign]())
@@ -148,11 +154,11 @@ def compile_expression(text: str, schema: T.StructType) -> Typed:
 
 
 def condition(text: str, schema: T.StructType) -> Column:
-    """Whether the expression is truthy; an empty one is."""
+    """Whether the expression is truthy; an empty one is. For filters: null may stand for false."""
     if not text.strip():
         return F.lit(True)
     made = compile_expression(text, schema)
-    return scalars.truthy(made.kind, made.column)
+    return scalars.truthy(made.kind, made.column) if made.bare is None else made.bare
 
 
 def with_expression(df: DataFrame, text: str, name: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,34 +37,39 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def violations(value: Column, schema: dict, at: str = "$") -> Column:
-    """Texts of what breaks ``schema`` (type, required, properties, items of arrays' length, minimum, maximum, minLength, maxLength).
+def _below(path: str, name: str) -> str:
+    return f"{path}.{name}" if re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", name) else f"{path}[{json.dumps(name)}]"
+
+
+def violations(value: Column, schema: dict, at: str = "$", shown: str = "$") -> Column:
+    """Texts of what breaks ``schema`` (type, required, properties, items, minimum, maximum, minLength, maxLength), each once.
 
-    ``value`` is a variant column. Lengths are in bytes.
+    ``value`` is a variant column, ``at`` the path of the part looked at, ``shown`` its name in the texts: [] stands for any element of
+    an array. Lengths are in bytes.
     """
     kinds = {"object": "^OBJECT", "array": "^ARRAY", "string": "^STRING", "integer": "^BIGINT", "boolean": "^BOOLEAN"}
     here = value if at == "$" else F.try_variant_get(value, at, "variant")
     wanted = schema.get("type")
     wrong = ~F.coalesce(_kind(here).rlike(kinds[wanted]), F.lit(False)) if wanted else F.lit(False)
-    checks: list[Column] = [F.when(wrong, F.lit(f"{at}: {wanted} expected"))]
+    checks: list[Column] = [F.when(wrong, F.lit(f"{shown}: {wanted} expected"))]
     for name in schema.get("required", []):
-        missing = F.try_variant_get(value, f"{at}.{name}", "variant").isNull()
-        checks.append(F.when(~wrong & missing, F.lit(f"{at}.{name}: required")))
+        missing = F.try_variant_get(value, _below(at, name), "variant").isNull()
+        checks.append(F.when(~wrong & missing, F.lit(f"{shown}.{name}: required")))
     number = F.try_variant_get(value, at, "long")
     for key, test in (("minimum", lambda v: number < v), ("maximum", lambda v: number > v)):
         if key in schema:
-            checks.append(F.when(~wrong & F.coalesce(test(schema[key]), F.lit(False)), F.lit(f"{at}: {key} {schema[key]}")))
+            checks.append(F.when(~wrong & F.coalesce(test(schema[key]), F.lit(False)), F.lit(f"{shown}: {key} {schema[key]}")))
     length = F.octet_length(F.try_variant_get(value, at, "string"))
     for key, test in (("minLength", lambda v: length < v), ("maxLength", lambda v: length > v)):
         if key in schema:
-            checks.append(F.when(~wrong & F.coalesce(test(schema[key]), F.lit(False)), F.lit(f"{at}: {key} {schema[key]}")))
+            checks.append(F.when(~wrong & F.coalesce(test(schema[key]), F.lit(False)), F.lit(f"{shown}: {key} {schema[key]}")))
     made = F.filter(F.array(*checks), lambda c: c.isNotNull())
     for name, part in schema.get("properties", {}).items():
-        inner = violations(value, part, f"{at}.{name}")
-        present = F.try_variant_get(value, f"{at}.{name}", "variant").isNotNull()
+        inner = violations(value, part, _below(at, name), f"{shown}.{name}")
+        present = F.try_variant_get(value, _below(at, name), "variant").isNotNull()
         made = F.concat(made, F.when(present, inner).otherwise(F.array().cast("array<string>")))
-    if "items" in schema and schema["items"].get("type"):
+    if schema.get("items"):
         items = F.try_variant_get(value, at, "array<variant>")
-        bad = F.exists(items, lambda x: ~_kind(x).rlike(kinds[schema["items"]["type"]]))
-        made = F.concat(made, F.filter(F.array(F.when(~wrong & F.coalesce(bad, F.lit(False)), F.lit(f"{at}[]: {schema['items']['type']} expected"))), lambda c: c.isNotNull()))
+        inner = F.array_distinct(F.flatten(F.transform(items, lambda x: violations(x, schema["items"], "$", f"{shown}[]"))))
+        made = F.concat(made, F.when(~wrong & items.isNotNull(), inner).otherwise(F.array().cast("array<string>")))
     return made

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+OPPOSITE = {"=": "!=", "!=": "=", "<": ">=", ">=": "<", ">": "<=", "<=": ">"}
 COMPARE = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge}
 
 
@@ -26,7 +27,10 @@ def _kind(value) -> type[T.DataType] | tuple:
 
 
 def compare(df: DataFrame, column: str, op: str, value) -> Column:
-    """``column op value``; false where the column is absent, null or of another kind."""
+    """``column op value``, for filters: not true where the column is absent, null or of another kind.
+
+    A bare comparison, null for null, so that it reaches the scan; ``holds`` gives true and false only.
+    """
     if op not in COMPARE:
         raise ValueError(f"no operator {op}")
     if column not in df.columns:
@@ -34,21 +38,39 @@ def compare(df: DataFrame, column: str, op: str, value) -> Column:
     if not isinstance(df.schema[column].dataType, _kind(value)):
         # Values of another kind differ from it, but have no order.
         return F.col(f"`{column}`").isNotNull() if op == "!=" else F.lit(False)
-    return F.coalesce(COMPARE[op](F.col(f"`{column}`"), F.lit(value)), F.lit(False))
+    return COMPARE[op](F.col(f"`{column}`"), F.lit(value))
+
+
+def differs(df: DataFrame, column: str, op: str, value) -> Column:
+    """Where ``compare`` is not true: the opposite comparison, or null."""
+    if column not in df.columns:
+        return F.lit(True)
+    c = F.col(f"`{column}`")
+    if not isinstance(df.schema[column].dataType, _kind(value)):
+        return c.isNull() if op == "!=" else F.lit(True)
+    return c.isNull() | compare(df, column, OPPOSITE[op], value)
+
+
+def holds(condition: Column) -> Column:
+    """True or false; false for null."""
+    return F.coalesce(condition, F.lit(False))
 
 
 def where(df: DataFrame, column: str, op: str, value) -> DataFrame:
     return df.where(compare(df, column, op, value))
 
 
-def tree(df: DataFrame, node: tuple) -> Column:
-    """A predicate tree: ("and" | "or", left, right), ("not", part) or (column, op, value)."""
+def tree(df: DataFrame, node: tuple, turned: bool = False) -> Column:
+    """A predicate tree: ("and" | "or", left, right), ("not", part) or (column, op, value); for filters.
+
+    NOT is carried down to the comparisons, where a null makes it true.
+    """
     if node[0] in ("and", "or"):
-        left, right = tree(df, node[1]), tree(df, node[2])
-        return left & right if node[0] == "and" else left | right
+        left, right = tree(df, node[1], turned), tree(df, node[2], turned)
+        return left & right if (node[0] == "and") != turned else left | right
     if node[0] == "not":
-        return ~tree(df, node[1])
-    return compare(df, *node)
+        return tree(df, node[1], not turned)
+    return differs(df, *node) if turned else compare(df, *node)
 
 
 def project(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 
 def pivot(df: DataFrame, group: Sequence[str], column: str, value: str, values: Sequence[str]) -> DataFrame:
     """Sums of ``value`` in a column for each of ``values``, 0 where there is none; groups without any stay.
@@ -26,12 +28,13 @@ def unpivot(df: DataFrame, group: Sequence[str], columns: Sequence[str], name: s
 def recurse(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 50) -> DataFrame:
     """Union of the anchor, the step of the anchor, the step of that, and so on until nothing is left.
 
-    At most ``rounds`` steps. Where the step can be written in SQL, WITH RECURSIVE keeps the whole
-    recursion in one plan; this form is for steps that are DataFrame code.
+    At most ``rounds`` steps. Every round is checkpointed in the shared folder, so none is worked out twice. Where the
+    step can be written in SQL, WITH RECURSIVE keeps the whole recursion in one plan; this form is for steps that are DataFrame code.
     """
-    result, work = anchor, anchor
+    shared_folder(anchor.sparkSession)
+    result = work = anchor.checkpoint()
     for _ in range(rounds):
-        work = step(work).select(*anchor.columns)
+        work = step(work).select(*anchor.columns).checkpoint()
         if work.isEmpty():
             break
         result = result.unionByName(work)

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.reshape import recurse
+from ..sources.tables import shared_folder
+
 
 def checkpoint_decisions(
     signals: DataFrame, min_interval: int = 30, wal_limit: int = 1000, dirty_limit: int = 100, lag_limit: int = 32, period: int = 300, full_every: int = 4
@@ -35,17 +38,17 @@ def backup_gaps(backups: DataFrame) -> DataFrame:
     return backups.withColumn("expected", before).where(F.col("expected").isNotNull() & (F.col("start_lsn") != F.col("expected")))
 
 
-def restore_plan(spark: SparkSession, backups: DataFrame, target: str, depth: int = 50) -> DataFrame:
-    """The chain from the full backup (no parent) to ``target``, oldest first."""
-    backups.createOrReplaceTempView("__backups")
-    return spark.sql(
-        f"""WITH RECURSIVE up AS (
-              SELECT id, parent, start_lsn, end_lsn, 0 AS steps FROM __backups WHERE id = :target
-              UNION ALL
-              SELECT b.id, b.parent, b.start_lsn, b.end_lsn, steps + 1 FROM up JOIN __backups b ON b.id = up.parent WHERE steps < {depth - 1})
-            SELECT id, parent, start_lsn, end_lsn, steps FROM up ORDER BY steps DESC""",
-        args={"target": target},
-    )
+def restore_plan(spark: SparkSession, backups: DataFrame, target: str) -> DataFrame:
+    """The chain from the full backup (no parent) to ``target``, oldest first; it has as many steps as there are backups at most."""
+    known = backups.count()
+    found = backups.where(F.col("id") == target).select("id", "parent", "start_lsn", "end_lsn", F.lit(0).alias("steps"))
+    up = backups.select(F.col("id").alias("__id"), F.col("parent").alias("__parent"), F.col("start_lsn").alias("__start"), F.col("end_lsn").alias("__end"))
+
+    def parent(rows: DataFrame) -> DataFrame:
+        held = rows.select(F.col("parent").alias("__child"), (F.col("steps") + 1).alias("steps"))
+        return held.join(up, F.col("__child") == F.col("__id")).select(F.col("__id").alias("id"), F.col("__parent").alias("parent"), F.col("__start").alias("start_lsn"), F.col("__end").alias("end_lsn"), "steps")
+
+    return recurse(found, parent, rounds=known).orderBy(F.desc("steps"))
 
 
 def placement_issues(replicas: DataFrame, wanted: int = 2) -> DataFrame:
@@ -73,13 +76,43 @@ def failover(replicas: DataFrame, lag_limit: int = 32) -> DataFrame:
     )
 
 
-def wait_circles(spark: SparkSession, waits: DataFrame, depth: int = 50) -> DataFrame:
-    """Transactions that wait for themselves through others: (waiter, holder) rows followed from each waiter."""
-    waits.createOrReplaceTempView("__waits")
-    return spark.sql(
-        f"""WITH RECURSIVE path AS (
-              SELECT waiter AS start, holder, 1 AS steps FROM __waits
-              UNION ALL
-              SELECT p.start, w.holder, steps + 1 FROM path p JOIN __waits w ON w.waiter = p.holder WHERE p.start <> p.holder AND steps < {depth})
-            SELECT DISTINCT start AS tx FROM path WHERE start = holder"""
-    )
+def wait_circles(spark: SparkSession, waits: DataFrame) -> DataFrame:
+    """Transactions that wait for themselves through others, from rows (waiter, holder); circles of any length.
+
+    Transactions that wait for nobody or hold nobody up are peeled off until none is left; what remains is closed by doubling: each round joins
+    the distinct pairs with themselves, so circles of n take log n rounds. Rounds are checkpointed.
+    """
+    shared_folder(spark)
+    core = waits.select("waiter", "holder").distinct().checkpoint()
+    size = core.count()
+    while size:
+        core = core.join(core.select(F.col("holder").alias("waiter")).distinct(), "waiter", "left_semi").join(core.select(F.col("waiter").alias("holder")).distinct(), "holder", "left_semi").select("waiter", "holder").checkpoint()
+        was, size = size, core.count()
+        if was == size:
+            break
+    reach = core
+    while size:
+        onward = reach.select(F.col("waiter").alias("holder"), F.col("holder").alias("__next"))
+        reach = reach.union(reach.join(onward, "holder").select("waiter", F.col("__next").alias("holder"))).distinct().checkpoint()
+        was, size = size, reach.count()
+        if was == size:
+            break
+    return reach.where("waiter = holder").select(F.col("waiter").alias("tx"))
+
+
+def checkpoint_kind(done: int, every: int = 4, dirty: int = 0, light_limit: int = 16) -> str:
+    """full at every ``every``-th, light where at most ``light_limit`` pages are dirty, else incremental."""
+    return "full" if (done + 1) % every == 0 else "light" if dirty <= light_limit else "incremental"
+
+
+def kept_backups(backups: DataFrame, full: int = 2) -> DataFrame:
+    """Backups (chain, id, parent, start_lsn, end_lsn) of the ``full`` latest chains, by the log position of their full backup."""
+    heads = backups.where("parent IS NULL").select("chain", F.row_number().over(W.orderBy(F.desc("start_lsn"), "chain")).alias("__age"))
+    return backups.join(heads.where(F.col("__age") <= full).select("chain"), "chain", "left_semi")
+
+
+def rebalance(replicas: DataFrame) -> DataFrame:
+    """(node, replicas, surplus): how many replicas each online node holds above an even share, rounded up; those with a surplus give some away."""
+    held = replicas.where("online").groupBy("node").agg(F.count("*").alias("replicas"))
+    share = held.agg(F.ceil(F.sum("replicas") / F.count("*")).alias("share")).scalar()
+    return held.withColumn("surplus", F.greatest(F.lit(0).cast("long"), F.col("replicas") - share))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import condition
 from ..functions.predicates import parse_compact
 from ..operators import windows
-from ..operators.relational import compare, project
+from ..operators.relational import compare, holds, project
 from .catalog import Catalog, Table
 
 # Pipelines: a stage a line, ``name|first|second|amount``.
@@ -159,18 +159,25 @@ def parse_workload(text: str) -> list[Statement]:
 
 @dataclass
 class Plan:
+    """``steps``: (kind, what it uses, rows, cost); the plan costs their sum."""
+
     statement: Statement
     index: str = ""
-    cost: int = 0
+    steps: list[tuple[str, str, int, int]] = field(default_factory=list)
     diagnostics: list[str] = field(default_factory=list)
 
+    @property
+    def cost(self) -> int:
+        return sum(cost for *_, cost in self.steps)
+
     @property
     def accepted(self) -> bool:
         return not self.diagnostics
 
     def explain(self) -> str:
         path = f"index {self.index}" if self.index else "scan"
-        return f"{self.statement.verb} {self.statement.table} by {path}, cost {self.cost}" + "".join(f"; {d}" for d in self.diagnostics)
+        steps = "".join(f"\n  {kind}{' ' + uses if uses else ''}: {rows} rows, cost {cost}" for kind, uses, rows, cost in self.steps)
+        return f"{self.statement.verb} {self.statement.table} by {path}, cost {self.cost}" + "".join(f"; {d}" for d in self.diagnostics) + steps
 
 
 def plan(statement: Statement, catalog: Catalog) -> Plan:
@@ -189,26 +196,50 @@ def plan(statement: Statement, catalog: Catalog) -> Plan:
             made.diagnostics.append(f"{name}: {f.kind} expected")
     if statement.verb == "insert":
         made.diagnostics += [f"{f.name} is required" for f in table.fields if f.required and f.default is None and f.name not in statement.values]
-    made.index = _index(table, statement)
-    rows = 128 * max(1, len(table.fields)) * max(1, len(table.indexes))
-    scan = rows
-    unique = {f.name for f in table.fields if f.unique} | {i.fields[0] for i in table.indexes if i.unique and len(i.fields) == 1}
-    for column, op, _ in statement.where:
-        rows //= (64 if column in unique else 8) if op == "=" else 4
-    made.cost = rows + 8 if made.index else scan * 4
+    made.index = "" if statement.verb == "insert" else _index(table, statement)
+    made.steps = _inserting(table) if statement.verb == "insert" else _reading(table, statement, made.index)
     return made
 
 
+# Fixed values of the cost model: cost of each step, and what share of a table's rows it is taken to leave.
+VALIDATE, DEFAULTS, UNIQUE_ENTRY, ENTRY, LOOKUP, SCAN, COLUMN, CHANGED, UPDATE, DELETE, AGGREGATE = 4, 2, 3, 5, 8, 4, 2, 5, 3, 7, 25
+FILTERED, UPDATED, DELETED, GROUPED = 4, 4, 5, 8
+
+
+def _inserting(table: Table) -> list[tuple[str, str, int, int]]:
+    entries = [("index", i.name, 1, UNIQUE_ENTRY if i.unique else ENTRY) for i in table.indexes]
+    return [("validate", "", 1, VALIDATE), ("defaults", "", 1, DEFAULTS), *entries]
+
+
+def _reading(table: Table, s: Statement, index: str) -> list[tuple[str, str, int, int]]:
+    whole = 128 * max(1, len(table.fields)) * max(1, len(table.indexes))
+    left = lambda share: max(1, whole // share)
+    steps = [("scan", "", whole, whole * SCAN)]
+    if index:
+        unique = {f.name for f in table.fields if f.unique} | {i.fields[0] for i in table.indexes if i.unique and len(i.fields) == 1}
+        rows = whole
+        for column, op, _ in s.where:
+            rows = max(1, rows // ((64 if column in unique else 8) if op == "=" else 4))
+        steps = [("lookup", index, rows, rows + LOOKUP)]
+    if s.where:
+        steps.append(("filter", "", left(FILTERED), whole))
+    if s.project:
+        steps.append(("project", ",".join(s.project), left(FILTERED), COLUMN * len(s.project)))
+    if s.verb == "update":
+        steps.append(("update", "", left(UPDATED), CHANGED * len(s.values) + UPDATE))
+    elif s.verb == "delete":
+        steps.append(("delete", "", left(DELETED), DELETE))
+    elif s.verb == "aggregate":
+        steps.append(("aggregate", s.aggregate, left(GROUPED), AGGREGATE))
+    return steps
+
+
 def _index(table: Table, statement: Statement) -> str:
-    """The index whose leading fields the equalities cover best; unique ones count double."""
+    """The index of whose fields equalities cover most; unique ones count double."""
     equal = {c for c, op, _ in statement.where if op == "="}
     best, score = "", 0
     for i in table.indexes:
-        covered = 0
-        for c in i.fields:
-            if c not in equal:
-                break
-            covered += 1
+        covered = sum(c in equal for c in i.fields)
         if covered * (4 if i.unique else 2) > score:
             best, score = i.name, covered * (4 if i.unique else 2)
     return best
@@ -223,9 +254,9 @@ def execute(statement: Statement, df: DataFrame) -> DataFrame:
         row = [F.lit(statement.values[c]).cast(df.schema[c].dataType).alias(c) if c in statement.values else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns]
         return df.unionByName(SparkSession.active().range(1).select(*row))
     if statement.verb == "update":
-        return df.withColumns({c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in statement.values.items()})
+        return df.withColumns({c: F.when(holds(hit), F.lit(v)).otherwise(F.col(c)) for c, v in statement.values.items()})
     if statement.verb == "delete":
-        return df.where(~hit)
+        return df.where(~holds(hit))
     found = df.where(hit)
     if statement.verb == "aggregate":
         c = F.col(statement.aggregate)

@@ -6,6 +6,7 @@ accompanied by one on the label.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.relational import compare
+from ..sources.tables import shared_folder
 
 LABEL = "p"
 
@@ -98,6 +100,20 @@ def write(df: DataFrame, scheme: Scheme, path: str) -> DataFrame:
     return labelled.where(F.col(LABEL).isNull()).drop(LABEL)
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(df: DataFrame, scheme: Scheme, name: str) -> DataFrame:
+    """The table partitioned by ``scheme`` in the shared folder, written once a session; ``name`` tells tables apart. Rows without a partition are left out."""
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, name, scheme)
+    if key not in _STORED:
+        path = f"{shared_folder(spark)}/quern-parts-{uuid.uuid4().hex}"
+        write(df, scheme, path)
+        _STORED[key] = path
+    return spark.read.schema(df.schema.add(LABEL, "string")).parquet(_STORED[key])
+
+
 def keep(scheme: Scheme, node: tuple) -> set[str]:
     """Labels for a predicate tree: and intersects, or unites, everything else keeps all."""
     if node[0] == "and":

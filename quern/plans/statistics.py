@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Ranges that are ranked apart.
+SLICES = 64
 
 
 def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -44,17 +51,27 @@ def equi_width(df: DataFrame, column: str, low: float, high: float, buckets: int
 
 
 def equi_depth(df: DataFrame, column: str, buckets: int, tie: Sequence[str] = ()) -> DataFrame:
-    """Least, greatest and number of values of each of ``buckets`` runs of like size.
+    """Least, greatest and number of values of each of ``buckets`` runs of like size, of a numeric column.
 
-    Exact, so all values pass one sorted window; ``equi_depth_bounds`` is the scalable form.
+    Exact, and no task sees all values: equal values are counted first, sketched bounds cut the distinct values into SLICES ranges, ranges are
+    ranked apart, and each range begins where the counts of those before it end. ``tie`` only orders equal values, which changes no bucket.
     """
-    tile = F.ntile(buckets).over(W.orderBy(column, *tie))
-    return (
-        df.where(F.col(column).isNotNull())
-        .select(column, tile.cast("long").alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count("*").alias("n"))
-    )
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
+    bounds = values.agg(F.percentile_approx("__v", [i / SLICES for i in range(1, SLICES)], 10_000)).scalar()
+    above = [F.when(F.get(bounds, F.lit(i)) < F.col("__v"), 1).otherwise(0) for i in range(SLICES - 1)]
+    values = values.withColumn("__slice", functools.reduce(lambda a, b: a + b, above))
+    before = W.orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)  # over SLICES rows
+    slices = values.groupBy("__slice").agg(F.sum("__n").alias("__n")).select("__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(W.partitionBy(F.lit(1))).alias("__all"))
+    upto = W.partitionBy("__slice").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = values.withColumn("__upto", F.sum("__n").over(upto)).join(F.broadcast(slices), "__slice")
+    ranked = ranked.selectExpr("__v", "__before + __upto - __n AS __from", "__before + __upto - 1 AS __to", f"__all DIV {buckets} AS __q", f"__all % {buckets} AS __r")
+    # The first r of the buckets hold one more than the others.
+    bucket = "IF({0} < __r * (__q + 1), {0} DIV (__q + 1), __r + ({0} - __r * (__q + 1)) DIV greatest(__q, 1))"
+    first = "IF(b < __r, b * (__q + 1), __r * (__q + 1) + (b - __r) * __q)"
+    past = "IF(b + 1 < __r, (b + 1) * (__q + 1), __r * (__q + 1) + (b + 1 - __r) * __q)"
+    parts = ranked.select("*", F.explode(F.expr(f"sequence({bucket.format('__from')}, {bucket.format('__to')})")).alias("b"))
+    held = F.expr(f"least(__to + 1, {past}) - greatest(__from, {first})")
+    return parts.groupBy((F.col("b") + 1).alias("bucket")).agg(F.min("__v").alias("low"), F.max("__v").alias("high"), F.sum(held).alias("n"))
 
 
 def equi_depth_bounds(df: DataFrame, column: str, buckets: int, accuracy: int = 10000) -> DataFrame:
@@ -95,22 +112,36 @@ def join_selectivity(left_distinct: int, right_distinct: int) -> float:
     return 1.0 / max(left_distinct, right_distinct, 1)
 
 
-def bloom_may_contain(df: DataFrame, column: str, probe: DataFrame, probe_column: str, expected: int, rate: float = 0.01) -> DataFrame:
-    """Rows of ``probe`` whose value may occur in ``df``: a bit set of fixed size is broadcast, values aren't."""
-    import math
-
+def bloom_size(expected: int, rate: float = 0.01) -> tuple[int, int]:
+    """(bits, hashes) of a filter that lets ``rate`` of the absent values through at ``expected`` values."""
     bits = max(64, math.ceil(-expected * math.log(rate) / math.log(2) ** 2))
-    hashes = max(1, round(bits / expected * math.log(2)))
+    return bits, max(1, round(bits / expected * math.log(2)))
+
 
-    def places(c: str) -> Column:
-        return F.array(*[F.pmod(F.xxhash64(F.col(c), F.lit(i)), F.lit(bits)) for i in range(hashes)])
+def bloom_rate(bits: int, hashes: int, values: int) -> float:
+    """The share of absent values that a filter holding ``values`` lets through, as estimated."""
+    return (1 - math.exp(-hashes * values / bits)) ** hashes
 
-    held = df.where(F.col(column).isNotNull()).select(F.explode(places(column)).alias("__bit")).distinct()
-    words = held.groupBy(F.call_function("div", F.col("__bit"), F.lit(64)).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, CAST(__bit % 64 AS INT)))").alias("__bits"))
-    asked = probe.withColumn("__id", F.monotonically_increasing_id()).withColumn("__bit", F.explode(places(probe_column)))
-    hit = asked.withColumn("__word", F.call_function("div", F.col("__bit"), F.lit(64))).join(F.broadcast(words), "__word").where("(shiftrightunsigned(__bits, CAST(__bit % 64 AS INT)) & 1) = 1")
-    passed = hit.groupBy("__id", *probe.columns).agg(F.count("*").alias("__n")).where(F.col("__n") == hashes)
-    return passed.select(*probe.columns)
+
+def bloom_may_contain(df: DataFrame, column: str, probe: DataFrame, probe_column: str, expected: int, rate: float = 0.01) -> DataFrame:
+    """Rows of ``probe`` whose value may occur in ``df``.
+
+    The bits of ``df`` are one array of a size fixed by ``expected``, worked out once as a subquery; rows of ``probe`` are neither
+    multiplied nor moved.
+    """
+    bits, hashes = bloom_size(expected, rate)
+    place = lambda c, i: F.pmod(F.xxhash64(F.col(c), F.lit(i)), F.lit(bits))
+    held = df.where(F.col(column).isNotNull()).select(F.explode(F.array(*[place(column, i) for i in range(hashes)])).alias("__bit"))
+    words = held.select(F.expr("__bit DIV 64").alias("__word"), F.expr("shiftleft(1L, CAST(__bit % 64 AS INT))").alias("__bits"))
+    every = df.sparkSession.range(-(-bits // 64)).select(F.col("id").alias("__word"), F.lit(0).cast("long").alias("__bits"))
+    words = words.union(every).groupBy("__word").agg(F.bit_or("__bits").alias("__bits"))
+    made = words.agg(F.expr("transform(array_sort(collect_list(struct(__word, __bits))), w -> w.__bits)")).scalar()
+    seen = F.lit(True)
+    for i in range(hashes):
+        at = place(probe_column, i)
+        word = F.get(made, F.call_function("div", at, F.lit(64)).cast("int"))
+        seen = seen & (F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return probe.where(F.col(probe_column).isNotNull() & seen)
 
 
 def dictionary_encode(df: DataFrame, column: str) -> DataFrame:
@@ -136,3 +167,37 @@ def run_length(df: DataFrame, column: str, order: Sequence[str], partition: Sequ
     new = F.when(F.col(column).eqNullSafe(F.lag(column).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     runs = df.withColumn("__new", new).withColumn("run", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     return runs.groupBy(*partition, "run").agg(F.first(column).alias("value"), F.count("*").alias("n"))
+
+
+def dictionary_decode(coded: DataFrame, dictionary: DataFrame, code: str, value: str) -> DataFrame:
+    """Values of codes, from the dictionary's rows (code, value); a null code is a null value."""
+    return coded.join(dictionary.select(F.col("code").alias("__code"), F.col(value).alias(f"__{value}")).distinct(), F.col(code) == F.col("__code"), "left").drop("__code").withColumnRenamed(f"__{value}", "value")
+
+
+def run_length_decode(runs: DataFrame, partition: Sequence[str] = ()) -> DataFrame:
+    """A row for each value of each run, numbered inside it: (partition, run, place, value)."""
+    return runs.select(*partition, "run", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("place"), "value")
+
+
+def encode(df: DataFrame, column: str, order: Sequence[str], how: str = "plain", partition: Sequence[str] = ()) -> tuple[str, DataFrame]:
+    """(encoding used, rows encoded): plain, dictionary, delta or run_length. Delta is for whole numbers; other columns get a dictionary."""
+    if how == "delta" and not isinstance(df.schema[column].dataType, T.IntegralType):
+        how = "dictionary"
+    if how == "plain":
+        return how, df
+    if how == "dictionary":
+        return how, dictionary_encode(df, column)
+    if how == "delta":
+        return how, delta_encode(df, column, order, partition)
+    if how == "run_length":
+        return how, run_length(df, column, order, partition)
+    raise ValueError(f"no encoding {how}")
+
+
+def depth_selectivity(histogram: DataFrame, op: str, value: float) -> DataFrame:
+    """Estimated share of rows with ``column op value`` from an equi-depth histogram (bucket, low, high, n), values spread evenly inside a bucket."""
+    inside = F.when(F.col("high") > F.col("low"), (F.lit(float(value)) - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(F.when(F.col("low") < value, 1.0).otherwise(0.0))
+    below = F.sum(F.col("n") * F.least(F.lit(1.0), F.greatest(F.lit(0.0), inside))) / F.sum("n")
+    equal = F.sum(F.when((F.col("low") <= value) & (F.col("high") >= value), F.col("n") / (F.col("high") - F.col("low") + 1)).otherwise(0.0)) / F.sum("n")
+    share = equal if op == "=" else 1 - equal if op == "!=" else below if op in ("<", "<=") else 1 - below
+    return histogram.agg(share.alias("selectivity"))

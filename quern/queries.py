@@ -345,20 +345,11 @@ def pivot_status(spark, d):
     return reshape.pivot(joined, ["c_nationkey"], "o_orderstatus", "o_custkey", ["F", "O", "X"])
 
 
-@query(
-    """SELECT l_orderkey, name, value FROM (UNPIVOT (SELECT l_orderkey, l_quantity AS quantity, CASE WHEN l_discount > 0.05 THEN l_discount END AS discount
-    FROM lineitem WHERE l_partkey < 20) ON quantity, discount INTO NAME name VALUE value)"""
-)
-def unpivot_lineitem(spark, d):
-    li = table(spark, d, "lineitem").where("l_partkey < 20").select("l_orderkey", F.col("l_quantity").alias("quantity"), F.when(F.col("l_discount") > 0.05, F.col("l_discount")).alias("discount"))
-    return reshape.unpivot(li, ["l_orderkey"], ["quantity", "discount", "absent"], "name", "value")
-
-
 @query(
     """SELECT l_orderkey, name, value FROM (UNPIVOT (SELECT l_orderkey, l_quantity AS quantity, CASE WHEN l_discount > 0.05 THEN l_discount END AS discount
     FROM lineitem) ON quantity, discount INTO NAME name VALUE value)"""
 )
-def unpivot_lineitem_whole(spark, d):
+def unpivot_lineitem(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").alias("quantity"), F.when(F.col("l_discount") > 0.05, F.col("l_discount")).alias("discount"))
     return reshape.unpivot(li, ["l_orderkey"], ["quantity", "discount", "absent"], "name", "value")
 
@@ -476,17 +467,8 @@ def pipeline_window(spark, d):
     return dsl.run_pipeline({"events": events}, dsl.parse_pipeline(text), ["event_id"])
 
 
-@query("SELECT o_orderkey AS \"order\", c_mktsegment AS event_kind FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 500")
-def pipeline_join(spark, d):
-    tables = {
-        "orders": table(spark, d, "orders").select("o_orderkey", "o_custkey"),
-        "customer": table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("kind")),
-    }
-    return dsl.run_pipeline(tables, dsl.parse_pipeline("load|orders\nfilter|o_orderkey < 500\njoin|customer|o_custkey\nproject|o_orderkey:order,event_kind"), [])
-
-
 @query("SELECT o_orderkey AS \"order\", c_mktsegment AS event_kind FROM orders JOIN customer ON o_custkey = c_custkey")
-def pipeline_join_whole(spark, d):
+def pipeline_join(spark, d):
     tables = {
         "orders": table(spark, d, "orders").select("o_orderkey", "o_custkey"),
         "customer": table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("kind")),
@@ -621,6 +603,70 @@ def encode_run_length(spark, d):
     return statistics.run_length(table(spark, d, "events").select("user_id", "event_id", "event_type"), "event_type", ["event_id"], ["user_id"])
 
 
+@query("SELECT n_nationkey, n_name, n_name AS decoded FROM nation")
+def encode_decode_dictionary(spark, d):
+    """A delta of text falls back to a dictionary, whose codes give the text back."""
+    how, coded = statistics.encode(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_name", ["n_nationkey"], "delta")
+    dictionary = coded.select("code", "n_name")
+    return statistics.dictionary_decode(coded.withColumn("kept", F.col("code")), dictionary, "kept", "n_name").select("n_nationkey", "n_name", F.col("value").alias("decoded"))
+
+
+@query("SELECT user_id, event_type AS value, count(*) AS n FROM events GROUP BY ALL")
+def encode_decode_run_length(spark, d):
+    runs = statistics.run_length(table(spark, d, "events").select("user_id", "event_id", "event_type"), "event_type", ["event_id"], ["user_id"])
+    return statistics.run_length_decode(runs, ["user_id"]).groupBy("user_id", "value").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT event_id, unnest(list_concat(CASE WHEN k > 50 THEN ['$.list[].k: maximum 50'] ELSE [] END, CASE WHEN strlen(event_type) > 5 THEN ['$.list[].a.b: maxLength 5'] ELSE [] END)) AS issue
+    FROM (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"""
+)
+def json_schema_items(spark, d):
+    """Rules for the members of objects in an array, one of them with a dot in its name."""
+    schema = {"type": "object", "properties": {"list": {"type": "array", "items": {"type": "object", "properties": {"k": {"type": "integer", "maximum": 50}, "a.b": {"type": "string", "maxLength": 5}}}}}}
+    text = F.concat(F.lit('{"list":[{"k":1},{"a.b":"'), "event_type", F.lit('","k":'), F.get_json_object("props", "$.k"), F.lit("}]}"))
+    return table(spark, d, "events").select("event_id", F.explode(js.violations(js.parse(text), schema)).alias("issue"))
+
+
+PART_RULES = catalog.Table("part", (catalog.Field("p_partkey", "int"), catalog.Field("p_name"), catalog.Field("p_size", "int")), (catalog.Index("part_pk", "btree", ("p_partkey",), True),))
+
+
+@query("SELECT * FROM (VALUES ('lookup', 'part_pk', 6, 14), ('filter', '', 96, 384), ('project', 'p_name', 96, 2)) t(step, uses, n_rows, cost)")
+def workload_plan(spark, d):
+    made = dsl.plan(dsl.parse_workload("find|part|where=p_partkey=7|project=p_name")[0], catalog.Catalog([PART_RULES]))
+    return spark.createDataFrame(made.steps, "step string, uses string, n_rows int, cost int")
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, NULL")
+def workload_insert(spark, d):
+    return dsl.execute(dsl.parse_workload("insert|region|doc=r_regionkey=99")[0], table(spark, d, "region"))
+
+
+@query("SELECT unnest(['field p_size: int became string', 'field p_name removed', 'new field p_kind is required without a default']) AS issue")
+def schema_compatibility(spark, d):
+    later = catalog.Table("part", (catalog.Field("p_partkey", "int"), catalog.Field("p_size", "string"), catalog.Field("p_kind", required=True)))
+    return spark.createDataFrame([(x,) for x in evolution.compatibility(PART_RULES, later)], "issue string")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size > 30")
+def expr_slot_names(spark, d):
+    parts = table(spark, d, "part")
+    return parts.where(condition("slot.p.size > 30", parts.schema)).select("p_partkey")
+
+
+@query("SELECT * FROM (VALUES (0, 'load'), (1, 'clean'), (1, 'count'), (2, 'report')) t(level, task)")
+def batch_levels(spark, d):
+    levels, _, _ = dsl.dry_run(dsl.parse_batch("task|load|2\ntask|clean|3|load\ntask|count|1|load\ntask|report|1|clean,count\ntask|never|1|missing"))
+    return spark.createDataFrame([(i, name) for i, names in enumerate(levels) for name in names], "level int, task string")
+
+
+@query("SELECT p_size AS value, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS keys FROM part WHERE NOT (p_size = 5 OR p_size > 12) GROUP BY p_size")
+def filter_not_or(spark, d):
+    df = table(spark, d, "part")
+    found = df.where(r.tree(df, ("not", ("or", ("p_size", "=", 5), ("p_size", ">", 12)))))
+    return found.groupBy(F.col("p_size").alias("value")).agg(F.count("*").alias("n"), F.sum("p_partkey").alias("keys"))
+
+
 # Partitions
 
 PRICE_BANDS = partitions.Ranges("o_custkey", (("low", 0, 40), ("middle", 41, 90), ("high", 91, 10_000_000)))
@@ -633,25 +679,25 @@ def part_range_label(spark, d):
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey > 60")
 def part_range_prune(spark, d):
-    labelled = table(spark, d, "orders").withColumn("p", PRICE_BANDS.label())
-    return partitions.read_where(labelled, PRICE_BANDS, "o_custkey", ">", 60).select("o_orderkey")
+    stored = partitions.stored(table(spark, d, "orders"), PRICE_BANDS, f"{d}/orders")
+    return partitions.read_where(stored, PRICE_BANDS, "o_custkey", ">", 60).select("o_orderkey")
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'click'")
 def part_list_prune(spark, d):
     lists = partitions.Lists("event_type", (("active", ("click", "purchase")), ("passive", ("view", "scroll"))))
-    return partitions.read_where(table(spark, d, "events").withColumn("p", lists.label()), lists, "event_type", "=", "click").select("event_id")
+    return partitions.read_where(partitions.stored(table(spark, d, "events"), lists, f"{d}/events"), lists, "event_type", "=", "click").select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE user_id = 11")
 def part_hash_prune(spark, d):
     hashed = partitions.Hashed("user_id", 8)
-    return partitions.read_where(table(spark, d, "events").withColumn("p", hashed.label()), hashed, "user_id", "=", 11).select("event_id")
+    return partitions.read_where(partitions.stored(table(spark, d, "events"), hashed, f"{d}/events"), hashed, "user_id", "=", 11).select("event_id")
 
 
 @query("SELECT o_orderkey FROM orders WHERE (o_custkey < 30 AND o_custkey > 10) OR o_custkey = 95")
 def part_tree_prune(spark, d):
-    df, node = table(spark, d, "orders").withColumn("p", PRICE_BANDS.label()), ("or", ("and", ("o_custkey", "<", 30), ("o_custkey", ">", 10)), ("o_custkey", "=", 95))
+    df, node = partitions.stored(table(spark, d, "orders"), PRICE_BANDS, f"{d}/orders"), ("or", ("and", ("o_custkey", "<", 30), ("o_custkey", ">", 10)), ("o_custkey", "=", 95))
     return df.where(F.col("p").isin(*sorted(partitions.keep(PRICE_BANDS, node)))).where(r.tree(df, node)).select("o_orderkey")
 
 

@@ -41,11 +41,43 @@ def test_entry(spark):
 
 
 def test_unpivot_reads_all_of_lineitem(spark, tiny):
-    found = queries()["unpivot_lineitem_whole"](spark, tiny).where("name = 'quantity'")
+    found = queries()["unpivot_lineitem"](spark, tiny).where("name = 'quantity'")
     assert found.count() == spark.read.parquet(f"{tiny}/lineitem.parquet").where("l_quantity IS NOT NULL").count()
 
 
-def test_pipeline_join_reads_all_of_orders(spark, tiny):
-    customers = spark.read.parquet(f"{tiny}/customer.parquet").selectExpr("c_custkey AS o_custkey")
-    whole = spark.read.parquet(f"{tiny}/orders.parquet").join(customers, "o_custkey").count()
-    assert queries()["pipeline_join_whole"](spark, tiny).count() == whole > queries()["pipeline_join"](spark, tiny).count()
+def plan(spark, tiny, name):
+    return queries()[name](spark, tiny)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+@pytest.mark.parametrize(
+    "name, pushed",
+    [
+        ("filter_gt", "GreaterThan(o_totalprice,200000.0)"),
+        ("filter_eq_str", "EqualTo(event_type,click)"),
+        ("filter_and_or", "LessThan(o_totalprice,50000.0)"),
+        ("filter_not", "LessThan(p_size,10)"),
+        ("filter_not_or", "LessThanOrEqual(p_size,12)"),
+        ("flagship", "GreaterThan(o_totalprice,100000.0)"),
+        ("workload_find", "EqualTo(user_id,7)"),
+        ("workload_aggregate", "GreaterThanOrEqual(user_id,3)"),
+        ("transform_text", "GreaterThan(o_custkey,30)"),
+        ("expr_contains", "StringContains(event_type,ic)"),
+        ("expr_between", "GreaterThanOrEqual(p_size,5)"),
+        ("part_range_prune", "GreaterThan(o_custkey,60)"),
+        ("part_hash_prune", "EqualTo(user_id,11)"),
+    ],
+)
+def test_filters_reach_the_scan(spark, tiny, name, pushed):
+    filters = [line for line in plan(spark, tiny, name).splitlines() if line.startswith("PushedFilters")]
+    assert any(pushed in line for line in filters), filters
+
+
+@pytest.mark.parametrize("name", ["part_range_prune", "part_list_prune", "part_hash_prune", "part_tree_prune"])
+def test_partitions_are_pruned(spark, tiny, name):
+    made = queries()[name](spark, tiny)
+    filters = [line for line in plan(spark, tiny, name).splitlines() if line.startswith("PartitionFilters")]
+    assert filters and any("p#" in line for line in filters)
+    whole = len(made.sparkSession.read.parquet(made.inputFiles()[0].rsplit("/p=", 1)[0]).inputFiles())
+    made.collect()
+    scan = made._jdf.queryExecution().executedPlan().toString()
+    assert whole > 1 and "PartitionFilters: [isnotnull(p" in scan or "PartitionFilters: [p" in scan or "PartitionFilters: [((p" in scan

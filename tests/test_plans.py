@@ -102,6 +102,10 @@ aggregate|events|where=user_id=7|agg=id
 delete|users|where=age>=30"""
     plans = [dsl.plan(s, cat) for s in dsl.parse_workload(text)]
     assert all(p.accepted for p in plans) and plans[1].index == "users_pk" and plans[1].cost < plans[4].cost
+    assert [k for k, *_ in plans[0].steps][:2] == ["validate", "defaults"] and plans[0].steps[0][2:] == (1, 4)
+    assert [k for k, *_ in plans[1].steps] == ["lookup", "filter", "project"] and plans[2].steps[-1][0] == "update" and plans[2].steps[-1][3] == 8
+    assert plans[3].steps[-1][0] == "aggregate" and plans[3].steps[-1][3] == 25 and plans[4].steps[-1][0] == "delete" and plans[4].steps[-1][3] == 7
+    assert all(p.cost == sum(c for *_, c in p.steps) for p in plans)
     assert "users_pk" in plans[1].explain()
     bad = [dsl.plan(s, cat).diagnostics for s in dsl.parse_workload("find|nowhere\nfind|users|where=id=x|project=gone\ninsert|users|doc=id=1")]
     assert bad == [["no table nowhere"], ["no field gone", "id: int expected"], ["email is required"]]
@@ -215,3 +219,43 @@ def test_failover_of_an_offline_leader(spark):
         "shard string, node string, online boolean, voter boolean, leader boolean, log_index int",
     )
     assert rows(cluster.failover(nodes)) == [("s2", "n2", False)]
+
+
+def test_long_chains_and_circles(spark):
+    ids = [f"b{i}" for i in range(12)]
+    chain = [(i, p, 10 * k, 10 * k + 10) for k, (p, i) in enumerate(zip([None, *ids], ids, strict=False))]
+    found = rows(cluster.restore_plan(spark, spark.createDataFrame(chain, "id string, parent string, start_lsn int, end_lsn int"), "b11"))
+    assert [x[0] for x in found] == ids
+    edges = [(i, (i + 1) % 70) for i in range(70)] + [(100, 0), (5, 200), (300, 301), (301, 300), (400, 400)]
+    made = cluster.wait_circles(spark, spark.createDataFrame(edges, "waiter int, holder int"))
+    assert sorted(x[0] for x in rows(made)) == [*range(70), 300, 301, 400]
+
+
+def test_depth_histogram_and_estimates(spark):
+    import random
+
+    rng = random.Random(3)
+    for values, k in (([rng.randrange(50) for _ in range(997)], 7), ([5] * 40 + [1, 9], 4), ([3, 1, 2], 5), ([2.5, None, 2.5], 2)):
+        df = spark.createDataFrame([(v,) for v in values], "x double" if isinstance(values[0], float) else "x int")
+        got = sorted(rows(statistics.equi_depth(df, "x", k)))
+        known = sorted(v for v in values if v is not None)
+        want, at = [], 0
+        for b in range(k):
+            n = len(known) // k + (b < len(known) % k)
+            if n:
+                want.append((b + 1, known[at], known[at + n - 1], n))
+            at += n
+        assert got == want
+    even = statistics.equi_depth(spark.range(1000), "id", 10)
+    assert abs(rows(statistics.depth_selectivity(even, "<", 250))[0][0] - 0.25) < 0.01
+    assert abs(rows(statistics.depth_selectivity(even, "=", 250))[0][0] - 0.001) < 0.0002
+    bits, hashes = statistics.bloom_size(1000, 0.01)
+    assert abs(statistics.bloom_rate(bits, hashes, 1000) - 0.01) < 0.001 and statistics.bloom_rate(bits, hashes, 0) == 0
+
+
+def test_backups_and_rebalance(spark):
+    made = spark.createDataFrame([("a", "f1", None, 0, 9), ("a", "i1", "f1", 9, 12), ("b", "f2", None, 20, 30), ("c", "f3", None, 40, 41)], "chain string, id string, parent string, start_lsn int, end_lsn int")
+    assert sorted(x[1] for x in rows(cluster.kept_backups(made, 2))) == ["f2", "f3"]
+    nodes = spark.createDataFrame([("s1", "n1", True), ("s2", "n1", True), ("s3", "n1", True), ("s1", "n2", True), ("s9", "n3", False)], "shard string, node string, online boolean")
+    assert sorted(rows(cluster.rebalance(nodes))) == [("n1", 3, 1), ("n2", 1, 0)]
+    assert [cluster.checkpoint_kind(d, 4, p) for d, p in ((3, 0), (0, 5), (0, 50))] == ["full", "light", "incremental"]
