@@ -11,7 +11,7 @@ less) stand before places n - need + SHARE and m - need + SHARE of the two order
 n - ceil(0.8 n) + SHARE shingles with their places, without those that no other document holds, and pairs that match so
 often before those places are candidates. In a family of near copies what a member alone holds fills its first places, so
 members that differ too much do not meet.
-First every posting meets the least document of its list; the links found so unite most copies. Then, in lists that still
+First every posting meets the centre of its list, the document with the fewest rarer shingles; the links found so unite most copies. Then, in lists that still
 hold several classes, documents of different classes meet. Pairs inside a class are never made, none across classes is
 left out.
 
@@ -444,9 +444,11 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posts = written.read()
     side = lambda x: [F.col("doc").alias(x), F.col("s").alias(f"s{x}"), F.col("at").alias(f"a{x}")]
 
-    # First round: each list's least document meets the others.
-    least = posts.groupBy("token").agg(F.min(F.struct("doc", "s", "at")).alias("o"), F.count("*").alias("c")).where("c > 1").select("token", "o.*")
-    met = posts.select("token", *side("v")).join(least.select("token", *side("u")), "token").where("u <> v").where(_may_link("au", "av"))
+    # First round: each list's centre meets the others: the document that has the smallest share of its shingles before the list's, so
+    # that it differs least from what a family has in common.
+    share = (F.expr(_PLACE.format("at")) / F.expr(_SIZE.format("at"))).alias("share")
+    centre = posts.groupBy("token").agg(F.min(F.struct(share, "doc", "s", "at")).alias("o"), F.count("*").alias("c")).where("c > 1").select("token", "o.doc", "o.s", "o.at")
+    met = posts.select("token", *side("v")).join(centre.select("token", *side("u")), "token").where("u <> v").where(_may_link("au", "av"))
     first = Written(_enough(met), "pairs").read()
     links = Written(_verified(texts, first), "links").read()
     classes = Written(components(links), "classes").read()
