@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Sequence
 
@@ -57,9 +56,9 @@ def equi_depth(df: DataFrame, column: str, buckets: int, tie: Sequence[str] = ()
     ranked apart, and each range begins where the counts of those before it end. ``tie`` only orders equal values, which changes no bucket.
     """
     values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
-    bounds = values.agg(F.percentile_approx("__v", [i / SLICES for i in range(1, SLICES)], 10_000)).scalar()
-    above = [F.when(F.get(bounds, F.lit(i)) < F.col("__v"), 1).otherwise(0) for i in range(SLICES - 1)]
-    values = values.withColumn("__slice", functools.reduce(lambda a, b: a + b, above))
+    bounds = values.agg(F.percentile_approx("__v", [i / SLICES for i in range(1, SLICES)], 10_000).alias("__bounds"))
+    values = values.join(F.broadcast(bounds), F.lit(True))  # one row of SLICES - 1 bounds
+    values = values.withColumn("__slice", F.size(F.filter("__bounds", lambda b: b < F.col("__v")))).drop("__bounds")
     before = W.orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)  # over SLICES rows
     slices = values.groupBy("__slice").agg(F.sum("__n").alias("__n")).select("__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(W.partitionBy(F.lit(1))).alias("__all"))
     upto = W.partitionBy("__slice").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
