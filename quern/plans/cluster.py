@@ -10,26 +10,57 @@ from ..operators.reshape import recurse
 from ..sources.tables import shared_folder
 
 
+#: Pages that a light checkpoint writes at most, and that an incremental one may always write.
+LIGHT_PAGES, INCREMENTAL_PAGES = 128, 256
+
+
 def checkpoint_decisions(
-    signals: DataFrame, min_interval: int = 30, wal_limit: int = 1000, dirty_limit: int = 100, lag_limit: int = 32, period: int = 300, full_every: int = 4
+    signals: DataFrame, min_interval: int = 30, wal_limit: int = 1000, dirty_limit: int = 100, lag_limit: int = 32, period: int = 300, full_every: int = 4, prefer_incremental: bool = True, during_backup: bool = True
 ) -> DataFrame:
     """What to do for each row of signals (shutdown, since_last, backup_requested, wal_records, dirty_pages, replica_lag, checkpoints_done).
 
-    The first rule that holds decides: shutdown, too soon, backup, log, dirty pages, replica, period.
+    The first rule that holds decides: shutdown, too soon, backup, log, dirty pages, replica, period; since_last is null before the first
+    checkpoint. Adds reason, mode (consistent, light, incremental, full, none) and flush_pages, how many dirty pages to write.
+    Every ``full_every``-th checkpoint is full (0: none for that).
     """
     rule = (
         F.when(F.col("shutdown"), "shutdown")
         .when(F.col("since_last") < min_interval, "wait")
-        .when(F.col("backup_requested"), "backup")
+        .when(F.col("backup_requested") & F.lit(during_backup), "backup")
         .when(F.col("wal_records") >= wal_limit, "wal")
         .when(F.col("dirty_pages") >= dirty_limit, "dirty")
         .when(F.col("replica_lag") >= lag_limit, "replica")
-        .when(F.col("since_last") >= period, "periodic")
+        .when(F.col("since_last").isNull() | (F.col("since_last") >= period), "periodic")
         .otherwise("none")
     )
-    full = F.col("reason").isin("shutdown", "backup") | ((F.col("checkpoints_done") + 1) % full_every == 0)
-    kind = F.when(F.col("reason").isin("wait", "none"), "none").when(full, "full").otherwise("incremental")
-    return signals.withColumn("reason", rule).withColumn("kind", kind)
+    done = F.col("checkpoints_done")
+    due = (done > 0) & (done % full_every == 0) if full_every else F.lit(False)
+    mode = (
+        F.when(F.col("reason").isin("wait", "none"), "none")
+        .when(due, "full")
+        .when(F.col("reason").isin("shutdown", "backup"), "consistent")
+        .when(F.col("reason") == "replica", "light")
+        .when((F.col("reason") == "dirty") | F.lit(prefer_incremental), "incremental")
+        .otherwise("full")
+    )
+    dirty = F.col("dirty_pages").cast("long")
+    most = F.when(F.col("mode") == "none", 0).when(F.col("mode") == "light", LIGHT_PAGES).when(F.col("mode") == "incremental", max(INCREMENTAL_PAGES, dirty_limit // 2)).otherwise(dirty)
+    return signals.withColumn("reason", rule).withColumn("mode", mode).withColumn("flush_pages", F.least(dirty, most))
+
+
+def checkpoint_retention(checkpoints: DataFrame, keep_recent: int, min_age: int, now: int) -> DataFrame:
+    """Checkpoints (id, at, mode, wal_start) with kept: the ``keep_recent`` latest (of equal times the larger id), the young, full and consistent ones.
+
+    The latest are found as a top-k, so no task sorts all checkpoints; the log before the least wal_start of kept ones can go.
+    """
+    recent = checkpoints.select(F.col("at").alias("__at"), F.col("id").alias("__id")).orderBy(F.desc("__at"), F.desc("__id")).limit(keep_recent).select("__id", F.lit(True).alias("__recent"))
+    kept = F.coalesce("__recent", F.lit(False)) | (F.col("at") + min_age > now) | F.col("mode").isin("full", "consistent")
+    return checkpoints.join(recent, F.col("id") == F.col("__id"), "left").withColumn("kept", F.coalesce(kept, F.lit(False))).drop("__id", "__recent")
+
+
+def reclaimable_log(retained: DataFrame) -> DataFrame:
+    """The log position up to which nothing is needed: the least wal_start among kept checkpoints."""
+    return retained.where("kept").agg(F.min("wal_start").alias("reclaimable"))
 
 
 def backup_gaps(backups: DataFrame) -> DataFrame:
@@ -100,11 +131,6 @@ def wait_circles(spark: SparkSession, waits: DataFrame) -> DataFrame:
     return reach.where("waiter = holder").select(F.col("waiter").alias("tx"))
 
 
-def checkpoint_kind(done: int, every: int = 4, dirty: int = 0, light_limit: int = 16) -> str:
-    """full at every ``every``-th, light where at most ``light_limit`` pages are dirty, else incremental."""
-    return "full" if (done + 1) % every == 0 else "light" if dirty <= light_limit else "incremental"
-
-
 def kept_backups(backups: DataFrame, full: int = 2) -> DataFrame:
     """Backups (chain, id, parent, start_lsn, end_lsn) of the ``full`` latest chains, by the log position of their full backup."""
     heads = backups.where("parent IS NULL").select("chain", F.row_number().over(W.orderBy(F.desc("start_lsn"), "chain")).alias("__age"))

@@ -45,3 +45,14 @@ def sequence_breaks(frames: DataFrame, order: str, sequence: str, stream: str |
 
     before = F.lag(sequence).over(W.partitionBy(*([stream] if stream else [])).orderBy(order))
     return frames.withColumn("before", before).where(F.col("before").isNotNull() & (F.col(sequence) <= F.col("before")))
+
+
+#: Numbers of the frame types.
+FRAME_TYPES = {"page": 1, "log": 2, "catalog": 3, "checkpoint": 4, "telemetry": 5, "payload": 6}
+
+
+def missing_frame_types(frames: DataFrame, kind: str, required: list[str]) -> DataFrame:
+    """The required types, by name, that no frame has; one partially aggregated row a type, whatever the number of frames."""
+    held = [F.coalesce(F.bool_or(F.col(kind) == FRAME_TYPES[name]), F.lit(False)).alias(name) for name in required]
+    named = F.array(*[F.struct(F.lit(name).alias("missing"), F.col(name).alias("held")) for name in required])
+    return frames.agg(*held).select(F.explode(named).alias("t")).where("NOT t.held").select("t.missing")

@@ -34,8 +34,24 @@ def merge_histograms(parts: Sequence[DataFrame], keys: Sequence[str] = ()) -> Da
 
 
 def slow_spans(spans: DataFrame, threshold: int, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
-    """Ended spans that took at least ``threshold``."""
-    return spans.where((F.col(end) != 0) & (F.col(end) - F.col(start) >= threshold)).withColumn("duration", F.col(end) - F.col(start))
+    """Ended spans that took at least ``threshold``; one that ends before it starts took 0."""
+    made = spans.withColumn("duration", F.greatest(F.lit(0), F.col(end) - F.col(start)))
+    return made.where((F.col(end) != 0) & (F.col("duration") >= threshold))
+
+
+def report(samples: DataFrame, spans: DataFrame, threshold: int, since: int | None = None) -> DataFrame:
+    """All metrics at once, as rows (section, name, n, value).
+
+    samples (kind, name, value, at): counters give their total, gauges their last value by ``at``, observations their sum; other kinds are
+    passed over. Spans (operation, start_ms, end_ms) that are slow give a row each with their duration. ``since`` is the time of the last
+    reset: samples up to it, and spans that started up to it, are left out.
+    """
+    if since is not None:
+        samples, spans = samples.where(F.col("at") > since), spans.where(F.col("start_ms") > since)
+    value = F.when(F.col("kind") == "gauge", F.max_by("value", "at")).otherwise(F.sum("value")).cast("double")
+    metrics = samples.where(F.col("kind").isin("counter", "gauge", "observe")).groupBy("kind", "name").agg(F.count("*").alias("n"), value.alias("value"))
+    slow = slow_spans(spans, threshold).select(F.lit("slow_span").alias("section"), F.col("operation").alias("name"), F.lit(1).cast("long").alias("n"), F.col("duration").cast("double").alias("value"))
+    return metrics.withColumnRenamed("kind", "section").unionByName(slow)
 
 
 def parse(text: str) -> list[tuple[str, str, dict[str, str], float]]:

@@ -13,6 +13,7 @@ from .functions.expressions import condition, with_expression
 from .operators import relational as r
 from .operators import reshape, windows
 from .plans import catalog, cluster, dsl, evolution, history, partitions, statistics, telemetry
+from .sources import manifests
 from .sources.tables import delete, demo_events, demo_users, table, update
 from .streaming import events as stream
 
@@ -725,6 +726,21 @@ def telemetry_slow_spans(spark, d):
     return telemetry.slow_spans(spans, 500).select("event_id", "duration")
 
 
+@query(
+    """SELECT section, name, n, round(value, 2) AS value FROM (
+      SELECT CASE event_type WHEN 'click' THEN 'counter' WHEN 'view' THEN 'gauge' ELSE 'observe' END AS section, CAST(user_id % 10 AS VARCHAR) AS name, count(*) AS n,
+        CASE WHEN any_value(event_type) = 'view' THEN arg_max(value, event_id) ELSE sum(value) END AS value FROM events GROUP BY 1, 2
+      UNION ALL SELECT 'slow_span', event_type, 1, CAST((event_id * 7) % 3000 - event_id % 1000 AS DOUBLE) FROM events
+      WHERE (event_id * 7) % 3000 <> 0 AND (event_id * 7) % 3000 - event_id % 1000 >= 2500)"""
+)
+def telemetry_report(spark, d):
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "click", "counter").when(F.col("event_type") == "view", "gauge").otherwise("observe")
+    samples = e.select(kind.alias("kind"), (F.col("user_id") % 10).cast("string").alias("name"), "value", F.col("event_id").alias("at"))
+    spans = e.select(F.col("event_type").alias("operation"), (F.col("event_id") % 1000).alias("start_ms"), (F.col("event_id") * 7 % 3000).alias("end_ms"))
+    return telemetry.report(samples, spans, 2500).withColumn("value", F.round("value", 2))
+
+
 # Histories
 
 
@@ -797,6 +813,50 @@ def checkpoint_decision(spark, d):
     return cluster.checkpoint_decisions(signals).select("event_id", "reason")
 
 
+_MODE = """CASE WHEN event_id % 9 > 0 AND event_id % 9 % 4 = 0 THEN 'full' WHEN event_id % 97 = 0 THEN 'consistent' WHEN event_id % 40 >= 32 THEN 'light' ELSE 'incremental' END"""
+
+
+@query(f"SELECT event_id, mode, CASE WHEN mode = 'light' THEN least(128, dirty) WHEN mode = 'incremental' THEN least(500, dirty) ELSE dirty END AS flush_pages FROM (SELECT event_id, event_id % 600 AS dirty, {_MODE} AS mode FROM events)")
+def checkpoint_modes(spark, d):
+    """Either shutdown, a lagging replica or the period calls for a checkpoint; every fourth is full."""
+    i = F.col("event_id")
+    no = F.lit(0)
+    signals = table(spark, d, "events").select(
+        "event_id", (i % 97 == 0).alias("shutdown"), F.lit(900).alias("since_last"), F.lit(False).alias("backup_requested"), no.alias("wal_records"), (i % 600).alias("dirty_pages"), (i % 40).alias("replica_lag"), (i % 9).alias("checkpoints_done")
+    )
+    return cluster.checkpoint_decisions(signals, dirty_limit=1000, min_interval=30).select("event_id", "mode", "flush_pages")
+
+
+@query(
+    """SELECT event_id, k <= 5 OR event_id + 20 > 990 OR event_type = 'purchase' AS kept
+    FROM (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id DESC) AS k FROM events)"""
+)
+def checkpoint_retained(spark, d):
+    mode = F.when(F.col("event_type") == "purchase", "full").otherwise("light")
+    taken = table(spark, d, "events").select("event_id", F.col("event_id").alias("id"), F.col("event_id").alias("at"), mode.alias("mode"), F.col("event_id").alias("wal_start"))
+    return cluster.checkpoint_retention(taken, 5, 20, 990).select("event_id", "kept")
+
+
+@query("SELECT unnest(['checkpoint', 'payload']) AS missing")
+def frame_types_missing(spark, d):
+    """Events as frames of three types; two required types are absent."""
+    frames = table(spark, d, "events").select((F.col("event_id") % 3 + 1).alias("type"))
+    return history.missing_frame_types(frames, "type", ["page", "log", "checkpoint", "payload"])
+
+
+_TOPOLOGY = """node n1 z1 r1 storage online capacity=10
+node n2 z1 r2 storage online
+node n4 z2 r1 storage offline
+shard s1 4 n1:leader:log=100 n2:log=98
+shard s2 4 n4:leader:log=100 n2:log=90"""
+
+
+@query("SELECT 's2' AS shard, 'n2' AS new_leader, true AS safe")
+def topology_failover(spark, d):
+    """A topology read from text."""
+    return cluster.failover(spark.createDataFrame(manifests.read_topology(_TOPOLOGY)[1]))
+
+
 @query("SELECT * FROM (VALUES ('b0', NULL, 0, 10, 2), ('b1', 'b0', 10, 20, 1), ('b2', 'b1', 21, 30, 0)) t(id, parent, start_lsn, end_lsn, steps)")
 def backup_restore_plan(spark, d):
     backups = spark.sql("SELECT * FROM VALUES ('b0', CAST(NULL AS STRING), 0, 10), ('b1', 'b0', 10, 20), ('b2', 'b1', 21, 30), ('c0', NULL, 0, 5) AS t(id, parent, start_lsn, end_lsn)")

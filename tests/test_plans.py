@@ -258,4 +258,45 @@ def test_backups_and_rebalance(spark):
     assert sorted(x[1] for x in rows(cluster.kept_backups(made, 2))) == ["f2", "f3"]
     nodes = spark.createDataFrame([("s1", "n1", True), ("s2", "n1", True), ("s3", "n1", True), ("s1", "n2", True), ("s9", "n3", False)], "shard string, node string, online boolean")
     assert sorted(rows(cluster.rebalance(nodes))) == [("n1", 3, 1), ("n2", 1, 0)]
-    assert [cluster.checkpoint_kind(d, 4, p) for d, p in ((3, 0), (0, 5), (0, 50))] == ["full", "light", "incremental"]
+
+
+def test_checkpoints(spark):
+    columns = "id int, shutdown boolean, since_last int, backup_requested boolean, wal_records int, dirty_pages int, replica_lag int, checkpoints_done int"
+    signals = [
+        (1, True, 0, False, 0, 700, 0, 1), (2, False, 5, True, 9999, 700, 0, 1), (3, False, 40, True, 0, 700, 0, 1), (4, False, 40, False, 2000, 700, 0, 4),
+        (5, False, 40, False, 2000, 700, 0, 3), (6, False, 40, False, 0, 50, 99, 3), (7, False, None, False, 0, 3, 0, 0), (8, False, 40, False, 0, 0, 0, 0), (9, False, 40, False, 0, 700, 0, 0),
+    ]
+    made = cluster.checkpoint_decisions(spark.createDataFrame(signals, columns)).select("id", "reason", "mode", "flush_pages")
+    assert sorted(rows(made)) == [
+        (1, "shutdown", "consistent", 700), (2, "wait", "none", 0), (3, "backup", "consistent", 700), (4, "wal", "full", 700), (5, "wal", "incremental", 256),
+        (6, "replica", "light", 50), (7, "periodic", "incremental", 3), (8, "none", "none", 0), (9, "dirty", "incremental", 256),
+    ]
+    plain = cluster.checkpoint_decisions(spark.createDataFrame(signals, columns), full_every=0, prefer_incremental=False, during_backup=False)
+    assert [(x[0], x[1]) for x in sorted(rows(plain.select("id", "reason", "mode")))[2:5]] == [(3, "dirty"), (4, "wal"), (5, "wal")]
+    past = spark.createDataFrame([(1, 10, "full", 5), (2, 20, "light", 15), (3, 30, "light", 25), (4, 30, "light", 26), (5, 40, "incremental", 35)], "id int, at int, mode string, wal_start int")
+    kept = cluster.checkpoint_retention(past, 2, 0, 100)
+    assert sorted(x[0] for x in rows(kept.where("kept").select("id"))) == [1, 4, 5] and rows(cluster.reclaimable_log(kept)) == [(5,)]
+    assert cluster.checkpoint_retention(past, 0, 71, 100).where("kept").count() == 4
+    assert cluster.checkpoint_retention(past.limit(0), 2, 0, 100).count() == 0
+
+
+def test_text_readers(spark):
+    nodes, replicas = manifests.read_topology("# c\nnode a z1 r1 storage online capacity=9 used=x tag=ssd tag=big\nnode b z2 r1 storage offline\nnode short\nshard s 5 a:leader:log=12 b:nonvoting c\nnoise")
+    assert [(n["node"], n["capacity"], n["used"], n["tags"]) for n in nodes] == [("a", 9, 0, ["big", "ssd"]), ("b", 0, 0, [])]
+    assert [(r["node"], r["leader"], r["voter"], r["online"], r["log_index"]) for r in replicas] == [("a", True, True, True, 12), ("b", False, False, False, 0), ("c", False, True, False, 0)]
+    assert cluster.failover(spark.createDataFrame(replicas)).count() == 0 and manifests.read_topology("") == ([], [])
+    backups, objects = manifests.read_backups("object lost page t 1\nbackup f full wal=0-9 end=x\nobject o1 page - 64 shard=s offset=8\nbackup i incremental parent=f wal=9-z")
+    assert [(b["id"], b["parent"], b["start_lsn"], b["end_lsn"]) for b in backups] == [("f", None, 0, 9), ("i", "f", 0, 0)]
+    assert [(o["backup"], o["table"], o["length"], o["offset"]) for o in objects] == [("f", None, 64, 8)]
+    assert manifests.read_policy("# p\nfull_every_n = 3\nprefer_incremental=yes\nother=1") == {"full_every_n": 3, "prefer_incremental": True}
+    assert manifests.read_policy("full_every_n=many") is None and manifests.read_policy("") is None
+
+
+def test_report_and_frames(spark):
+    samples = spark.createDataFrame([("counter", "c", 1.0, 1), ("counter", "c", 2.0, 2), ("gauge", "g", 5.0, 3), ("gauge", "g", 4.0, 4), ("noise", "n", 1.0, 5)], "kind string, name string, value double, at int")
+    spans = spark.createDataFrame([("read", 10, 30), ("open", 10, 0), ("back", 9, 5)], "operation string, start_ms int, end_ms int")
+    assert sorted(rows(telemetry.report(samples, spans, 10))) == [("counter", "c", 2, 3.0), ("gauge", "g", 2, 4.0), ("slow_span", "read", 1, 20.0)]
+    assert sorted(rows(telemetry.report(samples, spans, 0, since=3))) == [("gauge", "g", 1, 4.0), ("slow_span", "back", 1, 0.0), ("slow_span", "read", 1, 20.0)]
+    frames = spark.createDataFrame([(1,), (2,), (None,)], "type int")
+    assert rows(history.missing_frame_types(frames, "type", ["log", "catalog"])) == [("catalog",)]
+    assert history.missing_frame_types(frames.limit(0), "type", ["log", "catalog"]).count() == 2
