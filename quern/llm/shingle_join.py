@@ -42,6 +42,8 @@ SLICE_SHINGLES, SLICE_DOCS = 2_000_000, 50_000
 BUCKETS_A_PARTITION, BUCKET_BYTES, UNKNOWN_BYTES = 2, 32 << 20, 1 << 60
 FRAGMENT_BITS, FILTER_BITS = 3, 24
 SHARE = 3
+#: A set that more than COPIES documents have deals them to SPREAD tasks when classes are given back.
+COPIES, SPREAD = 256, 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LONG_WORD = 64
 
@@ -358,17 +360,27 @@ def _bit(doc) -> F.Column:
     return F.shiftrightunsigned(F.xxhash64(doc), 64 - FILTER_BITS)
 
 
+def _words(ids: DataFrame, key: str) -> DataFrame:
+    """A bit set of the keys, of fixed size: 2^FILTER_BITS bits in 2^(FILTER_BITS - 6) rows at most."""
+    bit = _bit(F.col(key))
+    at = F.shiftright(bit, 6).alias("_word")
+    return ids.select(at, bit.bitwiseAND(F.lit(63)).cast("int").alias("_at")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _at))").alias("_bits"))
+
+
+def _marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with _hot: whether their key's bit is set, so true for all of ``ids`` and few others; the bit set is broadcast."""
+    bit = _bit(F.col(key))
+    found = rows.withColumn("_word", F.shiftright(bit, 6)).withColumn("_at", bit.bitwiseAND(F.lit(63)).cast("int"))
+    joined = found.join(F.broadcast(_words(ids, key)), "_word", "left")
+    return joined.select(*rows.columns, F.coalesce(F.expr("(shiftrightunsigned(_bits, _at) & 1) = 1"), F.lit(False)).alias("_hot"))
+
+
 def _picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc is in ``ids``, and few others.
+    """Rows whose doc is in ``ids``, and few others: the bit set is broadcast, so texts don't move.
 
-    A bit set of fixed size (2^FILTER_BITS bits, in 2^(FILTER_BITS - 6) rows at most) is broadcast, so texts
-    don't move. Rows that only share a bit find no pair later.
+    Rows that only share a bit find no pair later.
     """
-    bit = _bit(F.col("doc"))
-    word, at = F.shiftright(bit, 6).alias("_word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("_at")
-    bits = ids.select(word, at).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _at))").alias("_bits"))
-    found = rows.select("*", word, at).join(F.broadcast(bits), "_word").where("(shiftrightunsigned(_bits, _at) & 1) = 1")
-    return found.select(*rows.columns)
+    return _marked(rows, "doc", ids).where("_hot").drop("_hot")
 
 
 def _segments(texts: DataFrame) -> DataFrame:
@@ -466,7 +478,11 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     live = sets.where("n > 0 AND doc IS NOT NULL")
     of_set = _reps(sets).join(classes.select(F.col("node").alias("doc"), "component"), "doc", "left").select("sig", F.coalesce("component", "doc").alias("component"))
-    linked = live.join(of_set, "sig").select("doc", "n", "component")
+    many = live.groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") > COPIES)
+    marked = lambda rows: _marked(rows, "sig", many.select("sig"))
+    dealt = marked(live).select("sig", "doc", "n", F.when(F.col("_hot"), F.pmod(F.xxhash64("doc"), F.lit(SPREAD))).otherwise(0).cast("int").alias("part"))
+    copied = marked(of_set).select("sig", "component", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))).alias("part"))
+    linked = dealt.join(copied, ["sig", "part"]).select("doc", "n", "component")
     alone = sets.where("n = 0 OR doc IS NULL").select("doc", "n", F.col("doc").alias("component"))
     return linked.union(alone).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 

@@ -150,8 +150,10 @@ def test_shingle_classes(spark, seed, limit):
     assert sorted(tuple(r) for r in shingle_join.shingle_classes(df, slice_shingles=limit).collect()) == classes(rows)
 
 
-def test_shingle_family_and_copies(spark):
-    """A family of near copies beside exact copies, repeated rows, a repeated id with two texts, and a very long text."""
+@pytest.mark.parametrize("copies", [shingle_join.COPIES, 3])
+def test_shingle_family_and_copies(spark, monkeypatch, copies):
+    """A family of near copies beside exact copies, repeated rows, a repeated id with two texts, and a very long text; copies in one task and in many."""
+    monkeypatch.setattr(shingle_join, "COPIES", copies)
     rng = random.Random(9)
     base = [f"b{i}" for i in range(120)]
     rows = []
