@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -167,6 +168,78 @@ def test_licence_scan(spark):
     assert licences.scan(df.where("false")).count() == 0
 
 
+def _found_by_hand(text, templates, least=0.8):
+    """Licences of all units of a text, windows counted start by start."""
+    words = licences.normal(text).split()
+    units = {licences.normal(u) for u in [*text.split("\n"), *re.split("\n[ \t\r]*\n", text), text]}
+    for template in templates.values():
+        order = licences.bigrams(template)
+        n = len(order)
+        for s in range(-n, len(words)):
+            agree = sum(1 for j in range(n) if order.index(order[j]) == j and 0 <= s + j < len(words) - 1 and f"{words[s + j]} {words[s + j + 1]}" == order[j])
+            if " " in order[0] and agree >= min(len(set(order)), licences.support(n)):
+                units.add(" ".join(words[max(s, 0):s + n + 1]))
+    found = []
+    for name, template in templates.items():
+        want = Counter(licences.bigrams(template))
+        for unit in units - {""}:
+            has = Counter(licences.bigrams(unit))
+            score = 2 * (want & has).total() / (want.total() + has.total())
+            if score >= least:
+                found.append((name, round(score, 6), unit))
+    return sorted(found)
+
+
+NOTICE = licences.TEMPLATES["MIT-permission"]
+
+
+def test_notices_beside_other_words(spark):
+    gpl = licences.TEMPLATES["GPL-3.0-header"]
+    wrapped = NOTICE.split(" ")
+    lines = [" ".join(wrapped[i:i + 9]) for i in range(0, len(wrapped), 9)]
+    texts = [
+        "Copyright 2020 Foo Inc. Released under the MIT License. All other rights are theirs, of course.",
+        "/*\n * Copyright 2020\n *\n * " + "\n * ".join(lines) + "\n *\n * The above copyright notice shall be included.\n *\n * And much more is said here about warranty and the like.\n */",
+        gpl + "\nThis program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability. See the licence for more.",
+        f"{NOTICE} {NOTICE}",  # one after the other
+        "Licensed under the Apache License, Version 2.0. " * 3,
+        " ".join(wrapped[5:]),  # cut at the start of the text
+        "so it was said: " + " ".join(wrapped[:30] + ["lawfully"] + wrapped[31:]) + " end",
+        "so it was said: " + " ".join(wrapped[:20] + ["and", "so"] + wrapped[20:]) + " end",
+        "the license of the software is not under the terms of this work",
+        "word " * 60_000 + NOTICE + " word" * 60_000,
+        "license", "license license", "", None,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r.licences for r in licences.scan(df).collect()}
+    for i, text in enumerate(texts):
+        if len(text or "") < 10_000:
+            assert sorted((x.licence, round(x.score, 6), x.unit) for x in rows[i]) == _found_by_hand(text or "", licences.TEMPLATES), i
+    names = {i: {x.licence for x in found} for i, found in rows.items()}
+    assert "MIT" in names[0] and "GPL-3.0-header" in names[2] and "Apache-2.0" in names[4]
+    assert all("MIT-permission" in names[i] for i in (1, 3, 5, 6, 7, 9)) and max(x.score for x in rows[1]) == 1
+    assert not any(names[i] for i in (8, 10, 11, 12, 13))
+
+
+def test_random_texts_by_hand(spark):
+    rng = random.Random(5)
+    short = {"a": "one two three four five", "b": "two three two three six", "c": "four", "d": "one two three four five six seven one two eight"}
+    words = "one two three four five six seven eight".split()
+    texts = ["\n".join(" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(rng.randint(1, 4))) for _ in range(150)]
+    texts += [" ".join(rng.choices(words, k=4) + short[rng.choice("abd")].split() + rng.choices(words, k=4)) for _ in range(150)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: sorted((x.licence, round(x.score, 6), x.unit) for x in r.licences) for r in licences.scan(df, short).collect()}
+    assert all(rows[i] == _found_by_hand(t, short) for i, t in enumerate(texts))
+
+
+def test_anchors_and_support():
+    for template in licences.TEMPLATES.values():
+        grams = licences.bigrams(template)
+        held = sum(1 for g in grams if set(g.split()) & set(licences.anchors(grams)))
+        assert len(grams) - held < licences.bounds(len(grams))[0]  # a text without the anchors has too few
+    assert [licences.support(n) for n in (1, 4, 10, 20, 40)] == [1, 4, 4, 6, 7]
+
+
 def test_size_bounds_lose_no_match():
     for size in range(1, 40):
         lo, hi = licences.bounds(size)
