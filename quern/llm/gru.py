@@ -18,7 +18,7 @@ STEPS, STRIDE = 64, 48
 
 def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(row ids, weights) of each word's character n-grams, ^ and $ at its ends; weight 0 pads."""
-    width = WORD_CHARS + 2
+    width = max(3, *(min(len(w), WORD_CHARS) for w in words), 0) + 2
     data = "".join([f"^{w[:WORD_CHARS]}$".ljust(width, "\0") for w in words]).encode("utf-32-le", "replace")
     code = np.frombuffer(data, dtype=np.uint32).reshape(len(words), width).astype(np.uint64)
     ids, masks = [], []

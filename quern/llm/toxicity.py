@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -96,10 +97,10 @@ class Scorer:
         self.clear()
 
     def _learn(self, texts: list[list[str]]) -> None:
-        new = list({w for words in texts for w in words if w not in self.row})
+        new = sorted({w for words in texts for w in words if w not in self.row}, key=len)
         if len(self.row) + len(new) > KNOWN_WORDS:
             self.clear()
-            new = list({w for words in texts for w in words})
+            new = sorted({w for words in texts for w in words}, key=len)
         first = len(self.row) + 1
         if first + len(new) > len(self.gates):
             self.gates = np.resize(self.gates, (max(2 * len(self.gates), first + len(new)), 6 * HIDDEN))
@@ -112,7 +113,7 @@ class Scorer:
         self._learn(texts)
         sizes = np.array([len(t) for t in texts])
         row = self.row
-        flat = np.fromiter((row[w] for words in texts for w in words), np.int64, int(sizes.sum()))
+        flat = np.fromiter(map(row.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
         flat = np.concatenate([flat, np.zeros(STEPS, np.int64)])
         begin = np.cumsum(sizes) - sizes
         at = [starts(int(n)) for n in sizes]
